@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenfile, warc
+from . import neardup, packing, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokenfile.op1_token_files,
+    "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_warc_segments": warc.op10_warc_segments,
 }
