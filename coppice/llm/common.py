@@ -121,3 +121,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, classes: list[int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label, text) of at most `per_class` labelled documents of each class, chosen by a hash of the id, and
+    how many labelled ids each class has. Of repeated labels the largest counts, of repeated documents the smallest text."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    sizes = {r[0]: r[1] for r in known.groupBy("label").agg(F.count("*")).collect()}
+    picked = None
+    for c in classes:
+        one = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = one if picked is None else picked.union(one)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # at most per_class rows a class: bounded by the parameter
+    out = src.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return out, sizes

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, tokenfile, warc
+from . import neardup, packing, quality, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokenfile.op1_token_files,
     "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
+    "op7_toxicity_subwords": toxicity.op7_toxicity_subwords,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_ordinal_quality": quality.op9_ordinal_quality,
     "op10_warc_segments": warc.op10_warc_segments,
 }
 
