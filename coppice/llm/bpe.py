@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 
 
+_STUCK = re.compile(r"(?:[^\w\s]|_)[.,] ")  # a stop or comma that continues a run of punctuation
+_ENDS = (".", ",")
+
+
+def _latin(text: str) -> bool:
+    """Only characters below U+0100: these have no canonical compositions among them and plain lower case."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Neither kind of tokenizer merges over a space that stands after a character that isn't white space:
     byte-level ones start a new pre-token there, word-end ones drop the space. So a text's ids are those of
     its pieces in turn, and most pieces recur. A text in which such a boundary falls inside a run of white
-    space is encoded as one, unless the tokenizer drops white space anyway. Memory: two dictionaries of at
-    most `keep` pieces each.
+    space is encoded as one, unless the tokenizer drops white space anyway. A stop or comma after a letter is a
+    pre-token of its own as well; with it set apart, and in lower case where the tokenizer lowers it, pieces
+    recur still more often. Memory: two dictionaries of at most `keep` pieces each.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -26,44 +41,67 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.spaced = [x.ids for x in self.tok.encode_batch_fast(["a b", "a", "b"], add_special_tokens=False)]
-        self.drops = self.spaced[0] == self.spaced[1] + self.spaced[2]
+        one, a, b, up = (self._ids(x) for x in ("a b", "a", "b", "A"))
+        self.drops, self.lowers = one == a + b, up == a
         self.keep, self.new, self.old = keep, {}, {}
+        self.ends = {p: self._one(p) for p in _ENDS}
         self.wide = self.tok.get_vocab_size() > 1 << 16
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def _one(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self._ids(text), "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.new) + len(pieces) > self.keep:
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.new) + 2 * len(pieces) > self.keep:
             self.old, self.new = self.new, {}
-        todo = []
+        old, new, todo, later = self.old.pop, self.new, [], []
         for p in pieces:
-            if (v := self.old.get(p)) is not None:
-                self.new[p] = v
-            elif not self.drops and (not p or p[-1].isspace()):
-                self.new[p] = False
+            if (v := old(p, None)) is not None:
+                new[p] = v
+            elif p[-1:] in _ENDS and (body := p[:-1]).isalpha() and _latin(body):
+                later.append((p, body))
+                if body not in new and body not in pieces:
+                    if (v := old(body, None)) is not None:
+                        new[body] = v
+                    else:
+                        todo.append(body)
             else:
                 todo.append(p)
         if todo:
-            lead = "" if self.drops else " "
-            for p, e in zip(todo, self.tok.encode_batch_fast([lead + p for p in todo], add_special_tokens=False), strict=True):
-                self.new[p] = array("I", e.ids).tobytes()  # native order: little-endian wherever Spark's workers run
+            lead = todo if self.drops else [" " + p for p in todo]
+            for p, e in zip(todo, self.tok.encode_batch_fast(lead, add_special_tokens=False), strict=True):
+                new[p] = array("I", e.ids).tobytes()  # native order: little-endian wherever Spark's workers run
+        for p, body in later:
+            new[p] = new[body] + self.ends[p[-1]]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = text.split(" ")
-        head = b"" if self.drops else self._one(pieces[0]) if pieces[0] else b""
-        rest = pieces if self.drops else pieces[1:]
-        if not self.drops and len(pieces) > 1 and pieces[0] and pieces[0][-1].isspace():
-            return self._one(text)
+        if self.drops and _latin(text):
+            text = text.replace("\n", " ")
+            if self.lowers:
+                text = text.lower()
+            if not _STUCK.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        rest = text.split(" ")
+        head = b""
+        if not self.drops:
+            first = rest.pop(0)
+            if rest and first and first[-1].isspace():
+                return self._one(text)
+            head = self._one(first) if first else b""
         got = list(map(self.new.get, rest))
-        if None in got:
-            self._learn(list({p for p, v in zip(rest, got, strict=True) if v is None}))
-            got = [self.new[p] if v is None else v for p, v in zip(rest, got, strict=True)]
-        if False in got:
-            return self._one(text)
+        missing = [i for i, v in enumerate(got) if v is None]
+        if missing:
+            pieces = {rest[i] for i in missing}
+            # a piece that ends in white space is never kept, so a boundary inside a run of it is always seen here
+            if not self.drops and any(not p or p[-1].isspace() for p in pieces):
+                return self._one(text)
+            self._learn(pieces)
+            for i in missing:
+                got[i] = self.new[rest[i]]
         return head + b"".join(got)
 
 

@@ -104,7 +104,7 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, "<u2")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, seq_len: int = 2048, text_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, seq_len: int = 2048, text_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes documents in ascending id order, `end_id` after each, into files of about `text_bytes` of text.
 
     One range exchange carries the texts; a task holds one file's ids at a time.
