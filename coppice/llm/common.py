@@ -73,19 +73,16 @@ def blocked_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     """Adds `name`: a gapless rank from 0 within `keys` without bringing a key's rows into one task.
 
     Rows of a key are split into hash buckets of `order`; a bucket's rank base is the number of rows in the
-    key's lower buckets. Ranks follow the buckets, then `order`; rows equal in `order` get different ranks.
+    key's lower buckets. Ranks follow the buckets, then `order`; rows equal in `order` get different ranks. Keys are
+    never null.
     """
     b, base = f"{name}_bucket", f"{name}_base"
     split = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    w = Window.partitionBy(*keys).orderBy(b)
+    w = (Window.partitionBy(*keys) if keys else Window).orderBy(b)  # a row per bucket and key
     sizes = split.groupBy(*keys, b).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn(base, F.sum("n").over(w) - F.col("n")).drop("n")
     ranked = split.withColumn(name, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)).cast("long") - 1)
-    on = [ranked[k].eqNullSafe(sizes[k]) for k in [*keys, b]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return ranked.join(sizes, cond).select(*[ranked[c] for c in df.columns], (ranked[name] + sizes[base]).alias(name))
+    return ranked.join(sizes, [*keys, b]).select(*df.columns, (F.col(name) + F.col(base)).alias(name))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
