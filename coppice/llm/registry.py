@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, neardup, packing, quality, sharding, tokenfile, toxicity, warc
+from . import caps, decontam, neardup, packing, quality, secrets, sharding, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokenfile.op1_token_files,
     "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_template_decontamination": decontam.op4_template_decontamination,
     "op5_balanced_shards": sharding.op5_balanced_shards,
     "op6_spherical_caps": caps.op6_spherical_caps,
     "op7_toxicity_subwords": toxicity.op7_toxicity_subwords,
