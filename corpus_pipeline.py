@@ -1,7 +1,74 @@
-"""A corpus pipeline of stages that each read and write documents."""
-STAGES = []
+"""A corpus pipeline: quality, near duplicates, benchmark passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return
+the columns of docs. run() applies them to documents and writes each result to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coppice.llm import common, decontam, neardup, packing, quality, secrets
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, str, str, list]:
+    """docs under names that clash with nothing, the id's and the text's new names, and the way back."""
+    new = [f"doc_{k}_" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, new, strict=True))
+    return docs.toDF(*new), at["doc_id"], at["text"], [F.col(n).alias(c) for c, n in at.items()]
+
+
+def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier keeps; trained on the labelled ones among them."""
+    model = quality.train(docs, common.read_table(spark, sf_dir, "labels"))
+    own, key, text, back = _renamed(docs)
+    return quality.score(own, model, extra=own.columns, id_col=key, text_col=text).where("kept").select(*back)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    own, key, text, back = _renamed(docs)
+    gone = neardup.near_duplicates(own, id_col=key, text_col=text).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    out = own.join(gone, own[key] == gone["gone"], "left_anti")
+    # rows that repeat a doc_id are copies or share its component: one of them stays
+    named = out.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return named.union(out.where(F.col(key).isNull())).select(*back)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    own, key, text, back = _renamed(docs)
+    found = decontam.leaks(own, common.read_table(spark, sf_dir, "benchmark"), id_col=key, text_col=text)
+    found = found.select(F.col("doc_id").alias("leak")).distinct()
+    return own.join(found, own[key].eqNullSafe(found["leak"]), "left_anti").select(*back)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced; n_chars follows the text."""
+    own, _, text, back = _renamed(docs)
+    at = dict(zip(docs.columns, own.columns, strict=True))
+    got = secrets.scan(own, text_col=text, path_col=at.get("source"))
+    hit = F.exists("findings", lambda x: x["is_secret"])
+    if "n_chars" in at:
+        got = got.withColumn(at["n_chars"], F.when(hit, F.length("redacted").cast("long")).otherwise(F.col(at["n_chars"])))
+    return got.withColumn(text, F.col("redacted")).select(*back)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that are left."""
+    import public_tokenizers
+
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [("quality", grade), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", redact), ("packing", pack)]
+
+# The stages hold trained models, so SQL can't express them; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
