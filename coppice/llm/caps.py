@@ -1,9 +1,9 @@
 """Near-duplicate vectors by spherical-cap filters from random product codes.
 
-A random rotation cuts each unit vector into `blocks` parts; each part has a random code of `words` unit vectors,
+A random rotation cuts each unit vector into `blocks` parts; each part has a random code of `words` Gaussian vectors,
 and a filter direction is one code word of every part joined, so there are words ** blocks directions that are
-never listed. A vector's filters are all directions whose inner product with it exceeds the cap's height; they
-are list-decoded block by block, dropping partial sums that the best remaining words can't lift over it. The
+never listed. A vector's filters are all directions whose inner product with it exceeds the cap's height (a normal
+quantile, in any number of dimensions); they are list-decoded block by block, dropping partial sums that the best remaining words can't lift over it. The
 height comes from the number of distinct vectors, so that two unrelated vectors share a filter ever more rarely
 as the table grows, and the code's size from the number of filters wanted for each vector.
 
@@ -21,7 +21,7 @@ vectors of their own. An empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 from functools import lru_cache
-from math import acos, ceil, pi, sqrt
+from math import acos, ceil, pi
 from statistics import NormalDist
 
 import numpy as np
@@ -36,14 +36,13 @@ SLACK = 1e-9  # on angles and cosines where bounds decide instead of products
 
 @lru_cache(64)
 def codes(dim: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
-    """Rotation, each block's code words (rows, scaled so that a whole direction has length 1) and the blocks."""
+    """Rotation, each block's Gaussian code words (rows) and the blocks: projections on whole directions are standard normal."""
     rng = np.random.default_rng(seed)
     q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
     cuts = [slice(dim * k // blocks, dim * (k + 1) // blocks) for k in range(blocks)]
     out = []
     for c in cuts:
-        w = rng.normal(size=(words, c.stop - c.start))
-        out.append(w / np.linalg.norm(w, axis=1, keepdims=True) / sqrt(blocks))
+        out.append(rng.normal(size=(words, c.stop - c.start)))
     return q * np.sign(np.diag(r)), out, cuts
 
 
@@ -52,8 +51,8 @@ def shape(n: int, dim: int, per_vector: float) -> tuple[int, int, float]:
     share = min(0.02, max(1.0 / max(n, 1), 1e-12))
     count = per_vector / share
     blocks = next(k for k in (2, 3, 4, 6) if count ** (1 / k) <= 2048 or k == 6)
-    blocks = max(1, min(blocks, dim // 2))
-    return blocks, max(2, ceil(count ** (1 / blocks))), -NormalDist().inv_cdf(share) / sqrt(dim)
+    blocks = min(blocks, dim)
+    return blocks, max(2, ceil(count ** (1 / blocks))), -NormalDist().inv_cdf(share)
 
 
 def filters(unit: np.ndarray, blocks: int, words: int, height: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +69,9 @@ def filters(unit: np.ndarray, blocks: int, words: int, height: float, seed: int)
     # the last block's words in falling order: those that lift a partial sum over the height are a prefix
     order = np.argsort(-dots[-1], axis=1)
     falling = np.take_along_axis(dots[-1], order, axis=1)
-    line = (4.0 * np.arange(len(x))[:, None] - falling).ravel()
-    n = np.searchsorted(line, 4.0 * row - (height - part)) - row * words
+    wide = 4.0 * (1 + np.abs(falling).max(initial=0.0) + abs(height) + np.abs(part).max(initial=0.0))  # sets rows apart
+    line = (wide * np.arange(len(x))[:, None] - falling).ravel()
+    n = np.searchsorted(line, wide * row - (height - part)) - row * words
     r = np.repeat(row, n)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return r, np.repeat(key, n) * words + order[r, nth]
@@ -111,7 +111,7 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, most: str = "vec") -> DataFra
     return both.mapInArrow(product, f"{kinds}, cos double")
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 16.0, rotations: int = 12, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.0, rotations: int = 8, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per input row."""
     spark = table.sparkSession
     common.tune(spark, 2000)

@@ -1,0 +1,398 @@
+"""Against brute force, exact round trips and held-out accuracy on the given tables."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from compare import duck_rows, spark_rows
+from coppice.llm import bpe, caps, common, decontam, neardup, packing, registry, secrets, sharding, shingles, tokenfile, toxicity, warc
+
+
+@pytest.fixture(scope="module")
+def texts(duck):
+    return dict(duck.sql("select doc_id, text from documents").fetchall())
+
+
+def plain(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=400, deadline=None)
+@given(text=st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Be", "'s", "12", ".", ",", "...", "é", "é", "ΣΑΣ", " ", "中文", "<|endoftext|>", "　", "!!", "_", "İ", "the", "The"]), max_size=14).map("".join))
+def test_piece_encoder_is_exact(name, text):
+    e = bpe.encoder(public_tokenizers.path(name))
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == plain_cached(name).encode(text, add_special_tokens=False).ids
+
+
+_plain = {}
+
+
+def plain_cached(name):
+    return _plain.setdefault(name, _plain.get(name) or plain(name))
+
+
+def test_piece_encoder_forgets(texts):
+    e = bpe.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), keep=500)
+    t = plain_cached("byte_bpe_50k.json")
+    for x in list(texts.values())[:60]:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert len(e.new) + len(e.old) < 30_000
+
+
+def test_token_files(spark, sf_dir, texts):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op1_token_files"](spark, sf_dir).collect()}
+    t, at = plain_cached("byte_bpe_50k.json"), 0
+    for d in sorted(texts):
+        ids = [*t.encode(texts[d], add_special_tokens=False).ids, 2]
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 65535), max_size=40), min_size=1, max_size=12), st.booleans())
+def test_token_file_round_trip(docs, wide):
+    raw = [(k, np.array([*d, 2], "<u4").tobytes()) for k, d in enumerate(docs)]
+    f = tokenfile.TokenFile(tokenfile.build(raw, 8, wide, batch_rows=2) + b"\n")
+    flat = [i for d in docs for i in [*d, 2]]
+    assert [x for _, _, _, ids in f.documents() for x in ids.tolist()] == flat
+    assert [i for k in range(len(f)) for i, m in zip(f.sequence(k).tolist(), f.mask(k).to_pylist(), strict=True) if m] == flat
+    assert [d for _, d, _, _ in f.documents()] == list(range(len(docs)))
+
+
+def test_packing(spark, sf_dir, texts):
+    t = plain_cached("word_bpe_49k.json")
+    got = registry.QUERIES["op8_best_fit_packing"](spark, sf_dir).toPandas()
+    by = {k: v.sort_values("piece") for k, v in got.groupby("doc_id")}
+    total = 0
+    for d, x in texts.items():
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        cuts = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+        assert list(zip(by[d]["start"], by[d]["length"], by[d]["ids_crc32"], strict=True)) == [(2048 * k, len(c), zlib.crc32(c.tobytes())) for k, c in enumerate(cuts)]
+    for _, v in got.groupby("sequence_id"):
+        v = v.sort_values("offset")
+        assert (v["offset"].to_numpy() == v["length"].cumsum().to_numpy() - v["length"].to_numpy()).all() and v["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() <= 1.01 * total / 2048 + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(0, 50), max_size=20))
+def test_plan_places_every_piece_once(counts):
+    rows = packing.plan(counts, 32)
+    held, seen = defaultdict(list), defaultdict(list)
+    for n, lo, hi, per, seq, at in rows:
+        seen[n] += list(range(lo, hi))
+        for r in range(lo, hi):
+            held[seq + (r - lo) // per].append((at + (r - lo) % per * n, n))
+    assert {n: sorted(v) for n, v in seen.items()} == {n: list(range(c)) for n, c in counts.items() if c}
+    for v in held.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at <= 32
+    total = sum(n * c for n, c in counts.items())
+    assert len(held) <= max(1, 2 * total / 32) + 1 or not total
+
+
+def test_warc_sql(spark, sf_dir, duck):
+    assert spark_rows(registry.QUERIES["op10_warc_segments"](spark, sf_dir)) == duck_rows(duck, registry.SQL["op10_warc_segments"])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 50), st.integers(1, 90))
+def test_warc_round_trip(body, chunk, segment):
+    page = {"uid": 1, "page_id": 5, "url": "u", "html": body, "refers_to": None, "revisit": False}
+    parts = list(warc.parse(b"".join(warc.records(page, segment, chunk)) + b"\n"))
+    assert warc.payload(b"".join(b for _, b in parts)) == body
+    if len(parts) > 1:
+        assert [int(f["warc-segment-number"]) for f, _ in parts] == list(range(1, len(parts) + 1))
+        assert int(parts[-1][0]["warc-segment-total-length"]) == sum(len(b) for _, b in parts)
+
+
+def test_warc_detects_damage(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 4000)], "page_id long, url string, html string")
+    path = common.shared_dir(spark, "warc")
+    warc.write(df, path, segment_bytes=500)
+    found = common.staged(warc.scan(spark, path), "r")
+    with pytest.raises(Exception, match="missing segments"):
+        warc.reassemble(found.where("number <> 3")).collect()
+    with pytest.raises(Exception, match="length of"):
+        warc.reassemble(found.where(f"number < {found.count()}").withColumn("total", found["number"] * 0 + 1)).collect()
+
+
+def shingle_sets(texts):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = {}
+    for d, t in texts.items():
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(low)) if x]
+        out[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
+def brute_components(sets, num):
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    pairs = {(a, b) for v in holders.values() for k, a in enumerate(v) for b in v[k + 1 :]}
+    for a, b in pairs:
+        i = len(sets[a] & sets[b])
+        if 100 * i >= num * (len(sets[a]) + len(sets[b]) - i):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {d: find(d) for d in sets}
+
+
+def near_family(n, words, changes, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{rng.integers(0, 3000)}" for _ in range(words)]
+    out = {}
+    for k in range(n):
+        w = list(base)
+        for at in rng.integers(0, words, rng.integers(0, changes)):
+            w[at] = f"x{rng.integers(0, 9999)}"
+        out[k] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_near_duplicates(spark, texts, num):
+    some = {d: t for d, t in texts.items() if len(t) < 6000}
+    some |= {10_000 + k: t for k, t in near_family(300, 120, 7, 1).items()} | {20_000 + k: t for k, t in near_family(60, 30, 3, 2).items()}
+    sets = shingle_sets(some)
+    want = brute_components(sets, num)
+    got = neardup.near_duplicates(spark.createDataFrame(list(some.items()), "doc_id long, text string"), num=num).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in got)
+
+
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    some = near_family(200, 100, 8, 3)
+    got = neardup.near_duplicates(spark.createDataFrame(list(some.items()), "doc_id long, text string"), num=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(shingle_sets(some), 85)
+
+
+def test_estimate_is_close():
+    rng = np.random.default_rng(0)
+    for share in (0.5, 0.8, 0.95):
+        for n in (60, 600, 20_000):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share)).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            true = shingles.overlap(a, b) / (len(a) + len(b) - shingles.overlap(a, b))
+            e = neardup.estimate(*(np.frombuffer(neardup.signature(x).tobytes(), np.uint64) for x in (a, b)))
+            assert abs(e - true) < 0.06
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 90)]
+    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    root = {}
+    for a, b in edges:
+        x, y = a, b
+        while root.get(x, x) != x:
+            x = root[x]
+        while root.get(y, y) != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+    for v in got:
+        x = v
+        while root.get(x, x) != x:
+            x = root[x]
+        assert got[v] == x
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(500, 24))
+    near = [base[k % 40] / np.linalg.norm(base[k % 40]) + rng.normal(size=24) * (0.02 + 0.05 * rng.random()) for k in range(300)]
+    v = np.concatenate([base, near, base[:20], base[:20] * 3])
+    v = v[rng.permutation(len(v))]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    n = link.sum(axis=1) - 1
+    comp = np.arange(len(v))
+    while True:
+        new = np.array([comp[link[k]].min() for k in range(len(v))])
+        if (new == comp).all():
+            break
+        comp = new
+    got = caps.near_vectors(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    assert got["n_links"].sum() >= 0.999 * n.sum() and (got["n_links"].to_numpy() <= n).all()
+    assert (got["component_id"].to_numpy() == comp).mean() > 0.995
+
+
+def test_filters_are_all_that_exceed():
+    rng = np.random.default_rng(1)
+    u = rng.normal(size=(40, 12))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for blocks in (1, 2, 3):
+        rotation, code, cuts = caps.codes(12, blocks, 5, 7)
+        row, key = caps.filters(u, blocks, 5, 0.3, 7)
+        x = u @ rotation
+        want = set()
+        for c in range(5**blocks):
+            digits = [(c // 5**k) % 5 for k in range(blocks)][::-1]
+            dot = sum(x[:, cut] @ w[d] for cut, w, d in zip(cuts, code, digits, strict=True))
+            want |= {(int(r), c) for r in np.flatnonzero(dot > 0.3)}
+        assert set(zip(row.tolist(), key.tolist(), strict=True)) == want
+
+
+def test_shards(spark):
+    rows = [(k, f"text {k}") for k in range(300)] + [(1000 + k, "hot") for k in range(400)] + [(2000 + k, f"pair {k % 60}") for k in range(240)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).toPandas()
+    sizes = got["shard"].value_counts()
+    assert len(sizes) == 10 and sizes.max() - sizes.min() <= 1 and (got["law"] == "rows").all() and got["grown_shard"].isna().all()
+    t = dict(rows)
+    assert (got["size"] == got["doc_id"].map(lambda d: len(t[d]) + 16)).all() and (got["text_crc32"] == got["doc_id"].map(lambda d: zlib.crc32(t[d].encode()))).all()
+    for _, v in got.groupby("shard"):
+        assert sorted(v["slot"]) == list(range(len(v)))
+    spread = got.groupby(got["doc_id"].map(t))["shard"].nunique()
+    assert spread["hot"] <= 6 and (spread[[f"pair {k}" for k in range(60)]] > 1).sum() <= 3
+
+
+def test_leaks(spark, sf_dir, duck, texts):
+    got = {(r["doc_id"], r["item_id"]) for r in registry.QUERIES["op4_template_decontamination"](spark, sf_dir).collect()}
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+    items = {i: grams(t) for i, t in duck.sql("select item_id, text from benchmark").fetchall()}
+    want = {(d, i) for d, t in texts.items() for g in [grams(t)] for i, s in items.items() if s and len(s & g) >= 0.8 * len(s)}
+    assert want and got == want
+
+
+def test_templates():
+    index = decontam.Index([(1, "If Alice has 12 apples and Bob gives her 30 apples weighing 5 kg how many apples does Alice hold in total today")], 5)
+    find = lambda t, agree=0.8: index.find(decontam.Lexicon(), t, 0.8, agree)
+    assert find("So then: If Carol has 7 apples and Dan gives her 9 apples weighing 8 lb how many apples does Carol hold in total today.")
+    swapped = "If Carol has 7 apples and Dan gives her 7 apples weighing 7 lb how many apples does Dan hold in total today"
+    assert find(swapped, 0.0) and not find(swapped, 0.95)
+    assert not find("If a farmer has many apples and a friend sells some pears then how many apples does the farmer own at last now")
+
+
+def test_secrets(spark, sf_dir, texts):
+    got = spark_secret_rows(spark, sf_dir)
+    want = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert want and {(r["doc_id"], r["start"]) for r in got if r["is_secret"]} == want
+    for r in got:
+        assert zlib.crc32(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].encode()) == r["candidate_crc32"]
+
+
+def spark_secret_rows(spark, sf_dir):
+    return registry.QUERIES["op3_secret_scan"](spark, sf_dir).collect()
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.built_in_findings(1500, seed=77)
+    df = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").fillna("")
+    s = secrets._struct(*[df[c] for c in ("candidate", "before", "after", "path")])
+    forest = list(secrets.built_in_forest())
+    got = df.select("label", secrets.forest_column(forest, s).alias("score"), s.alias("f")).collect()
+    assert np.mean([(r["score"] >= 0.5) == r["label"] for r in got]) > 0.95
+    for r in got[:100]:
+        assert abs(np.mean([secrets.tree_score(t, list(r["f"])) for t in forest]) - r["score"]) < 1e-5
+
+
+def test_secrets_plan_is_native(spark, sf_dir):
+    plan = registry.QUERIES["op3_secret_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_toxicity_held_out(spark, duck):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op7_toxicity_subwords(spark, sf).toPandas()
+    labels = duck.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").df()
+    assert len(got) == 10_000 and (got["held_out"] == got["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
+    m = got[got["held_out"]].merge(labels, on="doc_id")
+    hit, said = m["toxic"] == 1, m["predicted"] == 1
+    assert (hit & said).sum() / hit.sum() > 0.85 and (hit & said).sum() / said.sum() > 0.7
+    m["rank"] = m["score"].rank()
+    assert (m.loc[hit, "rank"].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()) > 0.93
+
+
+def test_misspellings_share_ngrams():
+    rng = np.random.default_rng(3)
+    clean = [f"{a}{b}" for a in ("ther", "and", "of", "ing", "ation") for b in ("en", "sh", "ou", "re", "ti", "al")]
+    bags, y = [], []
+    for k in range(400):
+        words = [w.encode() for w in rng.choice(clean, 60)]
+        if k % 2:
+            words += [b"worthless", b"pathetic"]
+        c = Counter(words)
+        bags.append((list(c), list(c.values())))
+        y.append(k % 2)
+    m = toxicity.fit(bags, np.array(y), 0.5)
+    s = m.scores(["thersh andou " * 20, "thersh andou " * 20 + "worthles pathetik", "thersh andou " * 20 + "worthless pathetic"])
+    assert s[0] < 0.3 < s[1] and s[2] > 0.3
+
+
+def test_quality(spark, sf_dir, duck):
+    got = registry.QUERIES["op9_ordinal_quality"](spark, sf_dir).toPandas()
+    m = got.merge(duck.sql("select doc_id, quality from labels").df(), on="doc_id")
+    assert len(got) == 1000 and ((m["quality"] == 1) == m["kept"]).mean() > 0.99
+
+
+def test_ordered_thresholds():
+    from coppice.llm import quality
+
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(600):
+        g = int(rng.integers(0, 4))
+        rows.append((np.array([1, 2]), np.array([g / 3 + rng.normal() * 0.08, 1 - g / 3], np.float32)))
+        y.append(g * 10)
+    m = quality.fit(rows, np.array(y))
+    assert m.grades == [0, 10, 20, 30] and (np.diff(m.thresholds) > 0).all()
+    z = np.array([m.weights[f] @ v for f, v in rows])
+    tails = 1 / (1 + np.exp(m.thresholds[None] - z[:, None]))
+    expected = tails @ np.full(3, 10.0)
+    assert np.abs(expected - np.array(y)).mean() < 3 and (np.diff(tails, axis=1) <= 0).all()
+
+
+def test_pipeline(spark, sf_dir, texts, duck):
+    """Stage by stage against brute force on each stage's own input."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    labels = dict(duck.sql("select doc_id, quality from labels").fetchall())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.toPandas().set_index("doc_id")
+        docs = common.staged(stage(spark, docs, sf_dir), name)
+        after = docs.toPandas().set_index("doc_id")
+        gone = set(before.index) - set(after.index)
+        if name == "quality":
+            known = [d for d in before.index if d in labels]
+            assert np.mean([(d in gone) == (labels[d] == 0) for d in known]) > 0.99
+        elif name == "near_duplicates":
+            comp = brute_components(shingle_sets(before["text"].to_dict()), 80)
+            assert set(after.index) == {d for d, c in comp.items() if c == d}
+        elif name == "decontamination":
+            grams = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+            items = [grams(t) for (t,) in duck.sql("select text from benchmark").fetchall()]
+            assert gone == {d for d, t in before["text"].items() for g in [grams(t)] if any(len(s & g) >= 0.8 * len(s) for s in items)}
+        else:
+            assert not gone
+            want = before["text"].map(lambda t: re.sub(r'(?i)(token = ")[0-9a-f]{40}"', r'\1[SECRET]"', t))
+            assert (after["text"].sort_index() == want.sort_index()).all() and (after["n_chars"] == after["text"].str.len()).all()
+        if name != "secrets":
+            assert after.sort_index().equals(before.loc[after.index].sort_index())
+    whole = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert set(whole["doc_id"]) == set(docs.toPandas()["doc_id"]) and isinstance(whole, pd.DataFrame)
