@@ -33,7 +33,7 @@ class PieceEncoder:
     recur still more often. Memory: two dictionaries of at most `keep` pieces each.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 750_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,7 +43,7 @@ class PieceEncoder:
         self.tok.no_padding()
         one, a, b, up = (self._ids(x) for x in ("a b", "a", "b", "A"))
         self.drops, self.lowers = one == a + b, up == a
-        self.keep, self.new, self.old = keep, {}, {}
+        self.keep, self.new, self.old, self.heads = keep, {}, {}, {}
         self.ends = {p: self._one(p) for p in _ENDS}
         self.wide = self.tok.get_vocab_size() > 1 << 16
 
@@ -53,53 +53,73 @@ class PieceEncoder:
     def _one(self, text: str) -> bytes:
         return np.asarray(self._ids(text), "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _first(self, piece: str) -> bytes:
+        """Ids of a text's first piece, which no space leads."""
+        if piece not in self.heads:
+            if len(self.heads) > 20_000:
+                self.heads.clear()
+            self.heads[piece] = self._one(piece)
+        return self.heads[piece]
+
+    def _learn(self, pieces: set[str]) -> bool:
+        """Makes all pieces known; False if one of them ends in white space, where a boundary may not be one."""
         if len(self.new) + 2 * len(pieces) > self.keep:
             self.old, self.new = self.new, {}
-        old, new, todo, later = self.old.pop, self.new, [], []
+        old, new, todo, later = self.old, self.new, [], []
         for p in pieces:
-            if (v := old(p, None)) is not None:
-                new[p] = v
-            elif p[-1:] in _ENDS and (body := p[:-1]).isalpha() and _latin(body):
+            if p in old:
+                new[p] = old.pop(p)
+                continue
+            last = p[-1:]
+            if last in _ENDS and (body := p[:-1]).isalpha() and _latin(body):
                 later.append((p, body))
                 if body not in new and body not in pieces:
-                    if (v := old(body, None)) is not None:
-                        new[body] = v
+                    if body in old:
+                        new[body] = old.pop(body)
                     else:
                         todo.append(body)
-            else:
+            elif self.drops or (last and not last.isspace()):
                 todo.append(p)
+            else:
+                return False
         if todo:
-            lead = todo if self.drops else [" " + p for p in todo]
+            lead = todo if self.drops else [p if p[0] == "\n" else " " + p for p in todo]
             for p, e in zip(todo, self.tok.encode_batch_fast(lead, add_special_tokens=False), strict=True):
                 new[p] = array("I", e.ids).tobytes()  # native order: little-endian wherever Spark's workers run
         for p, body in later:
             new[p] = new[body] + self.ends[p[-1]]
+        return True
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.drops and _latin(text):
-            text = text.replace("\n", " ")
+        head, spaced = b"", text
+        if not self.drops:
+            # a line feed between other signs is a pre-token of its own: it leads the piece after it
+            spaced = text.replace("\n", " \n")
+        elif _latin(text):
+            spaced = text.replace("\n", " ")
             if self.lowers:
-                text = text.lower()
-            if not _STUCK.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ")
-        rest = text.split(" ")
-        head = b""
+                spaced = spaced.lower()
+            if not _STUCK.search(spaced):
+                spaced = spaced.replace(", ", " , ").replace(". ", " . ")
+        rest = spaced.split(" ")
         if not self.drops:
             first = rest.pop(0)
-            if rest and first and first[-1].isspace():
+            if rest and (first[-1:].isspace() or (not first and rest[0][:1] == "\n")):
                 return self._one(text)
-            head = self._one(first) if first else b""
+            head = self._first(first) if first else b""
         got = list(map(self.new.get, rest))
-        missing = [i for i, v in enumerate(got) if v is None]
-        if missing:
-            pieces = {rest[i] for i in missing}
-            # a piece that ends in white space is never kept, so a boundary inside a run of it is always seen here
-            if not self.drops and any(not p or p[-1].isspace() for p in pieces):
+        if None in got:
+            missing, at = [], -1
+            try:
+                while True:
+                    at = got.index(None, at + 1)
+                    missing.append(at)
+            except ValueError:
+                pass
+            if not self._learn({rest[i] for i in missing}):
                 return self._one(text)
-            self._learn(pieces)
             for i in missing:
                 got[i] = self.new[rest[i]]
         return head + b"".join(got)

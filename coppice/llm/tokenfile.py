@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,14 +84,22 @@ class TokenFile:
     def mask(self, i: int) -> pa.BooleanArray:
         return self._row("mask", i)
 
+    def index(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Numbers, ids, starts in the file and lengths of all documents in order."""
+        out = []
+        for b, batch in enumerate(self.batches):
+            docs = batch.column("docs")
+            row = np.repeat(np.arange(len(docs)), np.diff(np.asarray(docs.offsets)))
+            d = docs.flatten()
+            at = (b * self.batch_rows + row) * self.seq_len + np.asarray(d.field("offset"))
+            out.append((np.asarray(d.field("doc")), d.field("doc_id"), at, np.asarray(d.field("length"))))
+        n, ids, at, length = zip(*out, strict=True)
+        return np.concatenate(n), pa.concat_arrays(ids), np.concatenate(at), np.concatenate(length)
+
     def documents(self):
         """(number, doc_id, start in the file, ids) of each document in order."""
-        for b, batch in enumerate(self.batches):
-            first = b * self.batch_rows
-            for r, docs in enumerate(batch.column("docs").to_pylist()):
-                for d in docs:
-                    at = (first + r) * self.seq_len + d["offset"]
-                    yield d["doc"], d["doc_id"], at, self.span(at, d["length"])
+        for n, d, at, length in zip(*(x.tolist() if isinstance(x, np.ndarray) else x.to_pylist() for x in self.index()), strict=True):
+            yield n, d, at, self.span(at, length)
 
     def span(self, at: int, length: int) -> np.ndarray:
         """ids at..at+length; a view where they lie in one batch."""
@@ -104,20 +112,42 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, "<u2")
 
 
+def _between(key: Column, bounds: list[int], salt: Column) -> Column:
+    """How many bounds lie below the key; for a key equal to bounds, a salted number up to those below or equal."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*map(F.lit, bounds))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def count(test) -> Column:  # by binary search
+        hit = lambda at, step: (at + step <= len(bounds)) & test(F.try_element_at(table, at + step))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(hit(at, step), at + step).otherwise(at))
+
+    below = count(lambda b: b < key)
+    return below + F.when(F.array_contains(table, key), F.pmod(salt, (count(lambda b: b <= key) - below + 1).cast("long"))).otherwise(0).cast("int")
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, seq_len: int = 2048, text_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes documents in ascending id order, `end_id` after each, into files of about `text_bytes` of text.
 
-    One range exchange carries the texts; a task holds one file's ids at a time.
+    One exchange carries the texts, by ranges of ids; a task holds one file's ids at a time.
     """
     spark = docs.sparkSession
     common.tune(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = src.agg(F.sum(F.octet_length("text").cast("double") + 16)).first()[0] or 0
-    parts = max(1, int(total // text_bytes) + 1)
-    # equal ids must not make one partition: ties are dealt by a hash of the text
-    tie = F.xxhash64("text")
-    ranged = src.withColumn("tie", tie).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie")
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie")
+    # the planner's size of the input, from its files; it only sets how many tasks there are
+    size_in_bytes = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size_in_bytes >= 1 << 60:  # the planner knows nothing
+        size_in_bytes = int(src.agg(F.sum(F.octet_length("text").cast("double") + 16)).first()[0] or 0)
+    parts = max(1, min(100_000, size_in_bytes // text_bytes + 1))
+    # bounds come from the ids alone, so the texts are read once; an id that several bounds share (or null, which
+    # sorts first) is dealt over all their partitions by a hash of the text: any order among equal ids will do
+    cuts = [k / parts for k in range(1, parts)]
+    low = -(1 << 63)
+    key = F.coalesce("doc_id", F.lit(low))
+    bounds = src.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(min(1_000_000, 50 * parts))).alias("b")).first()["b"] if cuts else []
+    part = _between(key, sorted(bounds or []), F.xxhash64("text"))
+    ranged = src.repartitionById(parts, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encode(batches):
         enc, end = bpe.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -147,8 +177,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 f = TokenFile(content.as_buffer())
-                rows = [(f.meta["part"], f.meta["chunk"], n, d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for n, d, at, ids in f.documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["part", "chunk", "doc", "doc_id", "at", "n_tokens", "ids_crc32"])
+                n, ids, at, length = f.index()
+                flat = np.concatenate([x.column("ids").flatten().to_numpy(zero_copy_only=True) for x in f.batches]).astype("<u4", copy=False)
+                sums = [zlib.crc32(flat[i : i + k]) for i, k in zip(at.tolist(), length.tolist(), strict=True)]
+                part, chunk = (np.full(len(n), f.meta[k], np.int64) for k in ("part", "chunk"))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(chunk), pa.array(n), ids, pa.array(at), pa.array(length), pa.array(sums, pa.int64())], names=["part", "chunk", "doc", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     rows = common.staged(common.read_files(spark, path).mapInArrow(scan, "part long, chunk long, doc long, doc_id long, at long, n_tokens long, ids_crc32 long"), "tokens")
