@@ -202,5 +202,15 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     return done.union(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+k AS (SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, t.b FROM reach r JOIN e t ON r.b = t.a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON v.vec_id = m.a LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) d ON d.a = v.vec_id
+"""
+
+
 def op6_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(common.read_table(spark, sf_dir, "embeddings"))

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_segments": warc.op10_warc_segments,
 }
 
-SQL: dict[str, str] = {"op10_warc_segments": warc.SQL}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": neardup.SQL, "op6_spherical_caps": caps.SQL, "op10_warc_segments": warc.SQL}
