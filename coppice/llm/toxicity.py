@@ -70,15 +70,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -60, 60)))
 
 
-def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: float, dim: int = 4, rounds: int = 40, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
+def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: float, dim: int = 4, rounds: int = 40, rate: float = 0.1, decay: float = 1e-6, min_texts: int = 1, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam on mini-batches of (words, counts) bags."""
     rng = np.random.default_rng(seed)
     index: dict[bytes, int] = {}
     docs = [(np.array([index.setdefault(w, len(index)) for w in ws]), np.array(cs, np.float32)) for ws, cs in bags]
     spelled = [grams(w) for w in index]
+    full = np.array([len(g) for g in spelled])
+    totals = np.array([(full[ids] * cs).sum() for ids, cs in docs])
+    # buckets that fewer training texts have, and all that none has, keep the weight 0
+    held = np.zeros(BUCKETS, np.int64)
+    for ids, _ in docs:
+        held[np.unique(np.concatenate([spelled[i] for i in ids]))] += 1
+    live = held >= min_texts
+    spelled = [g[live[g]] for g in spelled]
     sizes = np.array([len(g) for g in spelled])
+    docs = [(ids[sizes[ids] > 0], cs[sizes[ids] > 0]) for ids, cs in docs]
     flat, starts = np.concatenate(spelled), np.concatenate([[0], np.cumsum(sizes)])
-    e = rng.normal(0, 0.02, (BUCKETS, dim)).astype(np.float32)
+    e = (rng.normal(0, 0.02, (BUCKETS, dim)) * live[:, None]).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     scale = 60.0  # the averages are small: a few words in a hundred decide
@@ -86,27 +95,29 @@ def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: fl
     weight = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9)).astype(np.float32)
     step = 0
 
+    batches = max(1, -(-len(docs) // 64))
+
     def adam(name, value, grad, rows=None):
         m, v = state[name]
         at = slice(None) if rows is None else rows
         m[at] = 0.9 * m[at] + 0.1 * grad
         v[at] = 0.99 * v[at] + 0.01 * grad * grad
-        value[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
+        value[at] -= rate * (1 - (step - 1) / (rounds * batches)) * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
 
-    batches = max(1, -(-len(docs) // 256))
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(docs)), batches):
             step += 1
             ids = np.concatenate([docs[i][0] for i in part])
             cnt = np.concatenate([docs[i][1] for i in part])
             row = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
-            total = np.bincount(row, cnt * sizes[ids], len(part))
+            if not len(ids):
+                continue
             uniq, inv = np.unique(ids, return_inverse=True)
             lens = sizes[uniq]
             own = np.repeat(starts[uniq] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
             g = flat[own]
             v = np.add.reduceat(e[g], np.cumsum(lens) - lens, axis=0)
-            share = (cnt * scale / total[row]).astype(np.float32)
+            share = (cnt * scale / totals[part][row]).astype(np.float32)
             h = np.stack([np.bincount(row, share * v[inv, k], len(part)) for k in range(dim)], axis=1).astype(np.float32)
             z = h @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
