@@ -128,7 +128,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     src = src.withColumn("uid", F.monotonically_increasing_id()).withColumn("sha", F.sha1("html"))
     tops = src.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("top"))
-    tops = tops.withColumnRenamed("sha", "top_sha")
+    # written first, so that the join of a very common payload may be split
+    tops = common.staged(tops.withColumnRenamed("sha", "top_sha"), "tops")
     marked = src.join(tops, src["sha"] == tops["top_sha"], "left")
     marked = marked.withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
     marked = marked.select("uid", "page_id", "url", "html", "revisit", F.when(F.col("revisit"), F.col("top")).alias("refers_to"))
