@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, shingle: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = common.staged(fingerprints(docs, shingle, "doc_id", "text"), "minhash")
     known = prints.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    # written first: in a stage with its own aggregation a hot group's join couldn't be split
+    firsts = common.staged(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "firsts")
     copies = common.staged(known.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "rep", "hi", "lo"), "copies")
     # a repeated doc_id may hold several texts: each distinct text is linked under that id
     reps = known.join(copies.where("doc_id = rep").select("doc_id", "hi", "lo").distinct(), ["doc_id", "hi", "lo"], "left_semi")
@@ -189,9 +190,13 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, shingle: int
     more = rest_pairs(held.join(reps, "doc_id").select("band", "key", "doc_id", "comp", "bands", "sig"), floor)
     more = common.staged(confirm(common.staged(more, "rest"), texts, shingle, num, den).distinct(), "links")
 
-    every = links.union(more).union(copies.where("doc_id <> rep").select("doc_id", "rep")).toDF("src", "dst")
-    final = common.components(every)
-    out = prints.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    # copies follow their first text; only ids that are repeated with several texts tie these together
+    several = copies.groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1")
+    bridges = copies.join(several.select("doc_id"), "doc_id", "left_semi").where("doc_id <> rep").select("doc_id", "rep")
+    final = common.staged(common.components(links.union(more).union(bridges).toDF("src", "dst")).select(F.col("id").alias("rep"), "component"), "components")
+    placed = copies.join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    placed = common.staged(placed.groupBy("doc_id").agg(F.min("component").alias("component")), "placed")
+    out = prints.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
