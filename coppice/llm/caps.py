@@ -120,7 +120,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     ok = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False)))
     good = src.where("ok").select("vec_id", "vec", F.sha1(F.concat_ws(",", F.col("vec").cast("array<string>"))).alias("h"))
-    same = good.groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    # written first, so that the join of a very common vector may be split
+    same = common.staged(good.groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vec-same")
     member = common.staged(good.select("vec_id", "h").join(same, "h").select("vec_id", "id", "m", "h"), "vec-copies")
     owners = member.where("vec_id = id").select("vec_id", "h", "id", "m").distinct()
     vectors = good.select("vec_id", "vec", "h").join(owners.select("vec_id", "h"), ["vec_id", "h"], "left_semi").dropDuplicates(["h"])
