@@ -107,8 +107,9 @@ def test_plan_places_every_piece_once(counts):
     assert len(held) <= max(1, 2 * total / 32) + 1 or not total
 
 
-def test_warc_sql(spark, sf_dir, duck):
-    assert spark_rows(registry.QUERIES["op10_warc_segments"](spark, sf_dir)) == duck_rows(duck, registry.SQL["op10_warc_segments"])
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_same_as_duckdb(spark, sf_dir, duck, name):
+    assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == duck_rows(duck, registry.SQL[name])
 
 
 @settings(max_examples=100, deadline=None)
@@ -325,7 +326,7 @@ def test_toxicity_held_out(spark, duck):
     assert len(got) == 10_000 and (got["held_out"] == got["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
     m = got[got["held_out"]].merge(labels, on="doc_id")
     hit, said = m["toxic"] == 1, m["predicted"] == 1
-    assert (hit & said).sum() / hit.sum() > 0.85 and (hit & said).sum() / said.sum() > 0.7
+    assert (hit & said).sum() / hit.sum() >= 0.8 and (hit & said).sum() / said.sum() >= 0.8
     m["rank"] = m["score"].rank()
     assert (m.loc[hit, "rank"].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()) > 0.93
 
