@@ -5,7 +5,9 @@ and a filter direction is one code word of every part joined, so there are words
 never listed. A vector's filters are all directions whose inner product with it exceeds the cap's height (a normal
 quantile, in any number of dimensions); they are list-decoded block by block, dropping partial sums that the best remaining words can't lift over it. The
 height comes from the number of distinct vectors, so that two unrelated vectors share a filter ever more rarely
-as the table grows, and the code's size from the number of filters wanted for each vector.
+as the table grows, and the code's size from the number of filters wanted for each vector. Codes of more blocks clump, so
+the number of rotations follows from the measured chance that a pair at the threshold shares a filter in one rotation:
+such a pair is missed with a probability of at most `miss`, whatever the table's size and the vectors' length.
 
 Equal vectors are collapsed first. Inside a filter every vector is tried against the filter's smallest id only (a
 star), and vectors within half the link angle of such a leader form a tight group, all of whose pairs are links by
@@ -21,7 +23,7 @@ vectors of their own. An empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 from functools import lru_cache
-from math import acos, ceil, pi
+from math import acos, ceil, log, pi, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -34,7 +36,7 @@ from . import common
 SLACK = 1e-9  # on angles and cosines where bounds decide instead of products
 
 
-@lru_cache(64)
+@lru_cache(256)
 def codes(dim: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
     """Rotation, each block's Gaussian code words (rows) and the blocks: projections on whole directions are standard normal."""
     rng = np.random.default_rng(seed)
@@ -77,6 +79,30 @@ def filters(unit: np.ndarray, blocks: int, words: int, height: float, seed: int)
     return r, np.repeat(key, n) * words + order[r, nth]
 
 
+def chance(dim: int, blocks: int, words: int, height: float, cosine: float, seed: int, trials: int = 20, pairs: int = 100) -> float:
+    """Chance that two vectors at this cosine share a filter in one rotation: measured on random pairs, less three standard errors."""
+    rng, met = np.random.default_rng(seed), 0
+    for t in range(trials):
+        x, y = (rng.normal(size=(pairs, dim)) for _ in range(2))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if dim == 1:
+            y = x
+        else:
+            y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+            y = cosine * x + sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        row, key = filters(np.concatenate([x, y]), blocks, words, height, seed + 1 + t)
+        a, b = (set(zip((row[side] % pairs).tolist(), key[side].tolist(), strict=True)) for side in (row < pairs, row >= pairs))
+        met += len({r for r, _ in a & b})
+        codes.cache_clear()
+    p = met / (trials * pairs)
+    return max(p - 3 * sqrt(p * (1 - p) / (trials * pairs)), 1e-3)
+
+
+def turns(p: float, least: int, miss: float) -> int:
+    """Rotations after which a pair that each one finds with chance p is missed with at most this probability."""
+    return max(least, ceil(log(miss) / log(1 - p))) if p < 1 else least
+
+
 def sketch(unit: np.ndarray, seed: int) -> np.ndarray:
     """128 signs of random projections, as two int64 a row."""
     w = np.random.default_rng(seed).normal(size=(unit.shape[1], 128))
@@ -111,8 +137,8 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, most: str = "vec") -> DataFra
     return both.mapInArrow(product, f"{kinds}, cos double")
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.0, rotations: int = 8, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row per input row."""
+def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.0, rotations: int = 8, miss: float = 1e-4, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept: a row per input row. `rotations` is the least number of them."""
     spark = table.sparkSession
     common.tune(spark, 2000)
     theta = acos(cosine)
@@ -129,24 +155,32 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     vectors = common.staged(vectors.select(F.xxhash64("h").alias("id"), F.col("vec_id").alias("name"), "vec", F.size("vec").alias("dim")).join(owners.select(F.xxhash64("h").alias("id"), "m"), "id"), "vectors")
     member = member.withColumn("own", F.xxhash64("h"))
 
-    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()
-    plans = {r["dim"]: shape(r["n"], r["dim"], per_vector) for r in sizes}
+    def measure(batches):
+        for b in batches:
+            for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                plan = shape(n, d, per_vector)
+                k = turns(chance(d, *plan, cosine, seed + 1_000_000), rotations, miss)
+                yield pa.RecordBatch.from_pylist([{"dim": d, "blocks": plan[0], "words": plan[1], "height": plan[2], "turns": k}], pa.schema(kinds))
+
+    kinds = [("dim", pa.int32()), ("blocks", pa.int32()), ("words", pa.int64()), ("height", pa.float64()), ("turns", pa.int32())]
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).where("n > 1")
+    plans = common.staged(sizes.repartition("dim").mapInArrow(measure, "dim int, blocks int, words long, height double, turns int"), "codes")
 
     def decode(batches):
         for b in batches:
             dims = np.asarray(b.column(2))
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                if int(d) not in plans:
-                    continue
+                blocks, words, height, turns = (b.column(k)[int(at[0])].as_py() for k in range(3, 7))
                 unit, ids = _unit([b.column(1)[int(i)].as_py() for i in at]), np.asarray(b.column(0))[at]
                 signs = sketch(unit, seed)
-                for k in range(rotations):
-                    row, key = filters(unit, *plans[int(d)], seed + k)
+                for k in range(turns):
+                    row, key = filters(unit, blocks, words, height, seed + k)
                     cols = [ids[row], np.full(len(row), d, np.int32), np.full(len(row), k, np.int32), key, signs[row, 0], signs[row, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "dim", "code", "key", "s1", "s2"])
 
-    caps = common.staged(vectors.select("id", "vec", "dim").mapInArrow(decode, "id long, dim int, code int, key long, s1 long, s2 long"), "caps")
+    planned = vectors.join(plans, "dim").select("id", "vec", "dim", "blocks", "words", "height", "turns")
+    caps = common.staged(planned.mapInArrow(decode, "id long, dim int, code int, key long, s1 long, s2 long"), "caps")
     cell = ["dim", "code", "key"]
 
     # tight groups: star edges to each filter's smallest id, within half the link angle

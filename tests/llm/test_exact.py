@@ -261,6 +261,23 @@ def test_filters_are_all_that_exceed():
         assert set(zip(row.tolist(), key.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("n", [10**6, 5 * 10**6, 10**8])
+def test_pairs_of_large_tables_share_filters(n):
+    rng = np.random.default_rng(4)
+    for cosine in (0.9505, 0.98):
+        x, y = rng.normal(size=(300, 64)), rng.normal(size=(300, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        plan = caps.shape(n, 64, 11.0)
+        met = set()
+        for k in range(caps.turns(caps.chance(64, *plan, 0.95, 3), 8, 1e-4)):
+            row, key = caps.filters(np.concatenate([x, y]), *plan, 500 + k)
+            a, b = (set(zip((row[s] % 300).tolist(), key[s].tolist(), strict=True)) for s in (row < 300, row >= 300))
+            met |= {r for r, _ in a & b}
+        assert len(met) == 300
+
+
 def test_shards(spark):
     rows = [(k, f"text {k}") for k in range(300)] + [(1000 + k, "hot") for k in range(400)] + [(2000 + k, f"pair {k % 60}") for k in range(240)]
     got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).toPandas()
