@@ -2,7 +2,8 @@
 
 Texts become templates: words in lower case without outer punctuation, numbers (with a unit glued to them or not)
 as <num>, units as <unit>, capitalised words inside a sentence as <name>; what was replaced stays as the
-placeholder's slot. Five-token windows of templates are hash-joined with those of the benchmark items, so a
+placeholder's slot. A run of names is one <name>, a number and the unit after it one <num>. Capitalised words that begin a
+sentence may be names or not, so items and documents have two readings, and of their matches the best counts. Five-token windows of templates are hash-joined with those of the benchmark items, so a
 question with other numbers, names or units still meets its item. A document leaks an item if, within a stretch of
 twice the item's length, it has at least `share` of the item's windows, and the slots agree: of the slot pairs in
 the matched windows at least `agree` follow one mapping from item values to document values and back, as they
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,7 +44,7 @@ _units = frozenset(UNITS)
 
 
 class Lexicon:
-    """Words as rows of small tables: template hash, kind, whether it may be a name, whether it ends a sentence."""
+    """Words as rows of small tables: template hash, kind, whether it may be a name, whether it ends a sentence or clause, whether it is a number without unit."""
 
     def __init__(self):
         self.clear()
@@ -50,6 +52,7 @@ class Lexicon:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.hash, self.kind, self.cap, self.ends = array("Q"), array("b"), array("b"), array("b")
+        self.cut, self.bare = array("b"), array("b")
 
     def _add(self, word: bytes) -> int:
         core = word.strip(_OUTER)
@@ -60,10 +63,13 @@ class Lexicon:
         self.kind.append(-1 if not core else kind)
         self.cap.append(kind == LITERAL and text[:1].isupper() and (len(text) == 1 or not text.isupper()))
         self.ends.append(word.rstrip(b"\"')]*#$%&")[-1:] in (b".", b"!", b"?", b":"))
+        self.cut.append(word[-1:] in b",;:.!?)")
+        self.bare.append(kind == NUM and core[-1:].isdigit())
         return len(self.hash) - 1
 
-    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(hashes, kinds, words) of the tokens of a text; words without a core are left out."""
+    def readings(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, Values]]:
+        """(hashes, kinds, values) of the tokens of a text, with the words that begin a sentence as they are, and, if that
+        differs, with the capitalised ones of them as names; words without a core are left out."""
         if len(self.index) > 400_000:
             self.clear()
         found = (text or "").encode("utf-8", "replace").split()
@@ -74,16 +80,37 @@ class Lexicon:
                 self.index[w] = self._add(w)
             got[i] = self.index[w]
         if not found:
-            return np.empty(0, np.uint64), np.empty(0, np.int8), []
+            return [(np.empty(0, np.uint64), np.empty(0, np.int8), Values([], np.empty(0, int)))]
         at = np.array(got)
         # views of growing arrays, which must be gone before the next word is added
         hashes, kinds = np.frombuffer(self.hash, np.uint64)[at], np.frombuffer(self.kind, np.int8)[at]
-        name, ends = np.frombuffer(self.cap, bool)[at], np.frombuffer(self.ends, bool)[at]
-        name[0] = False
-        name[1:] &= ~ends[:-1]
-        hashes, kinds = np.where(name, _MARKS[NAME], hashes), np.where(name, np.int8(NAME), kinds)
+        cap, ends = np.frombuffer(self.cap, bool)[at], np.frombuffer(self.ends, bool)[at]
+        cut, bare = np.frombuffer(self.cut, bool)[at], np.frombuffer(self.bare, bool)[at]
+        inside = cap.copy()
+        inside[0] = False
+        inside[1:] &= ~ends[:-1]
         keep = kinds >= 0
-        return hashes[keep], kinds[keep], found if keep.all() else [found[i] for i in np.flatnonzero(keep)]
+        if not keep.all():
+            found = [found[i] for i in np.flatnonzero(keep)]
+            hashes, kinds, cap, inside, cut, bare = (x[keep] for x in (hashes, kinds, cap, inside, cut, bare))
+        out = []
+        for name in [inside] if (cap == inside).all() else [inside, cap]:
+            h, k = np.where(name, _MARKS[NAME], hashes), np.where(name, np.int8(NAME), kinds)
+            first = np.ones(len(k), bool)
+            first[1:] = ~((name[1:] & name[:-1] | (k[1:] == UNIT) & bare[:-1]) & ~cut[:-1])
+            out.append((h[first], k[first], Values(found, np.flatnonzero(first))))
+        return out
+
+
+class Values:
+    """What stands for each token: one word, or the words of a run."""
+
+    def __init__(self, words: list[bytes], starts: np.ndarray):
+        self.words, self.starts = words, starts
+
+    def __getitem__(self, i: int) -> bytes:
+        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.words)
+        return b" ".join(self.words[self.starts[i] : end]).strip(_OUTER).lower()
 
 
 class Index:
@@ -91,31 +118,42 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int):
         lexicon, self.size = Lexicon(), size
-        self.ids, self.tokens, self.counts = [], [], []
+        self.ids, self.tokens, self.counts, self.item = [], [], [], []
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            hashes, kinds, words = lexicon.template(text)
-            if not len(hashes):
-                continue
-            w = shingles.windows(hashes, size)
-            literal = np.convolve(kinds == LITERAL, np.ones(min(size, len(kinds)), int), "valid")
-            use = literal >= 3
-            if not use.any():
-                use[:] = True
-            k = len(self.ids)
-            for p in np.flatnonzero(use).tolist():
-                places[int(w[p])].append((k, p))
-            self.ids.append(item)
-            self.tokens.append((kinds, [x.strip(_OUTER).lower() for x in words]))
-            self.counts.append(int(use.sum()))
+        for n, (item, text) in enumerate(items):
+            for r, (hashes, kinds, values) in enumerate(lexicon.readings(text)):
+                if not len(hashes) or r and len(hashes) < size:
+                    continue
+                w = shingles.windows(hashes, size)
+                literal = np.convolve(kinds == LITERAL, np.ones(min(size, len(kinds)), int), "valid")
+                use = literal >= 3
+                if not use.any():
+                    if r:
+                        continue
+                    use[:] = True
+                k = len(self.ids)
+                for p in np.flatnonzero(use).tolist():
+                    places[int(w[p])].append((k, p))
+                self.ids.append(item)
+                self.item.append(n)
+                self.tokens.append((kinds, [values[i] for i in range(len(kinds))]))
+                self.counts.append(int(use.sum()))
         self.hashes = np.array(sorted(places), np.uint64)
         self.places = [places[h] for h in self.hashes.tolist()]
 
     def find(self, lexicon: Lexicon, text: str | None, share: float, agree: float) -> list[tuple[int | None, float, float]]:
         """(item_id, containment, slot agreement) of the items that a text leaks."""
-        hashes, kinds, words = lexicon.template(text)
+        best: dict[int, tuple[int | None, float, float]] = {}
+        for hashes, _, values in lexicon.readings(text):
+            for n, hit in self._find(hashes, values, share, agree):
+                if n not in best or hit[1:] > best[n][1:]:
+                    best[n] = hit
+        return list(best.values())
+
+    def _find(self, hashes: np.ndarray, words: Values, share: float, agree: float) -> Iterator[tuple[int, tuple[int | None, float, float]]]:
+        """(item, hit) of one reading of a text; an item may come twice."""
         if not len(hashes) or not len(self.hashes):
-            return []
+            return
         # an item shorter than a window is one window of its own length
         w = shingles.windows(hashes, self.size)
         at = np.searchsorted(self.hashes, w)
@@ -125,7 +163,6 @@ class Index:
         for p in hits.tolist():
             for k, q in self.places[at[p]]:
                 met[k].append((p, q))
-        out = []
         for k, pairs in met.items():
             reach = 2 * len(self.tokens[k][0])
             best, lo, inside = 0, 0, Counter()
@@ -144,17 +181,16 @@ class Index:
                 continue
             agreed = self._agreement(k, pairs[span[0] : span[1]], words)
             if agreed >= agree:
-                out.append((self.ids[k], contained, agreed))
-        return out
+                yield self.item[k], (self.ids[k], contained, agreed)
 
-    def _agreement(self, k: int, pairs: list[tuple[int, int]], words: list[bytes]) -> float:
+    def _agreement(self, k: int, pairs: list[tuple[int, int]], words: Values) -> float:
         """Share of slot pairs that follow one mapping between item values and document values, both ways."""
         kinds, values = self.tokens[k]
         seen = Counter()
         for p, q in pairs:
             for o in range(min(self.size, len(kinds))):
                 if kinds[q + o] != LITERAL:
-                    seen[(int(kinds[q + o]), q + o, values[q + o], words[p + o].strip(_OUTER).lower())] += 1
+                    seen[(int(kinds[q + o]), q + o, values[q + o], words[p + o])] += 1
         if not seen:
             return 1.0
         slots = {(kind, pos, a, b) for kind, pos, a, b in seen}

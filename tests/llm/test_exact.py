@@ -308,6 +308,17 @@ def test_templates():
     assert not find("If a farmer has many apples and a friend sells some pears then how many apples does the farmer own at last now")
 
 
+def test_templates_of_several_sentences():
+    item = "Tom has 12 red apples in a box. Tom eats 3 of them every day. Sara buys 5 more apples at the shop and carries 5 kg home. How many apples are left?"
+    index = decontam.Index([(1, item)], 5)
+    find = lambda t: index.find(decontam.Lexicon(), t, 0.8, 0.8)
+    other = item.replace("Tom", "Ben").replace("12", "31").replace("3 of", "9 of").replace("5 more", "8 more")
+    assert find(item) == [(1, 1.0, 1.0)] and find(item.lower())
+    for first, second, weight in (("Ben", "Lucy", "7 kg"), ("Ben Smith", "Lucy", "7 kg"), ("Ben", "Mary Ann Jones", "7kg")):
+        assert find("So then. " + other.replace("Ben", first).replace("Sara", second).replace("5 kg", weight))
+    assert not find("Tom has many green pears in a bag. He sells some of them every week. She finds two more pears near the road. Where are they now?")
+
+
 def test_secrets(spark, sf_dir, texts):
     got = spark_secret_rows(spark, sf_dir)
     want = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
