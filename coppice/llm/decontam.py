@@ -8,7 +8,8 @@ question with other numbers, names or units still meets its item. A document lea
 twice the item's length, it has at least `share` of the item's windows, and the slots agree: of the slot pairs in
 the matched windows at least `agree` follow one mapping from item values to document values and back, as they
 do when a question is re-parameterised (all values kept is the plain copy). Windows of fewer than three literal
-words count only where an item has no others.
+words count only where an item has no others. An item of fewer than five tokens is one window of its own length: documents of
+just that length match it like any other, longer ones where they have it with the same slots.
 
 The item index is broadcast block by block (`block_items` items at a time, a stated set against all documents), so
 its size doesn't grow with either table; documents are never shuffled. One row per document and item found:
@@ -120,6 +121,7 @@ class Index:
         lexicon, self.size = Lexicon(), size
         self.ids, self.tokens, self.counts, self.item = [], [], [], []
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # by length and hash
         for n, (item, text) in enumerate(items):
             for r, (hashes, kinds, values) in enumerate(lexicon.readings(text)):
                 if not len(hashes) or r and len(hashes) < size:
@@ -132,6 +134,8 @@ class Index:
                         continue
                     use[:] = True
                 k = len(self.ids)
+                if len(hashes) < size:
+                    self.short[len(hashes)][int(w[0])].append(k)
                 for p in np.flatnonzero(use).tolist():
                     places[int(w[p])].append((k, p))
                 self.ids.append(item)
@@ -140,6 +144,7 @@ class Index:
                 self.counts.append(int(use.sum()))
         self.hashes = np.array(sorted(places), np.uint64)
         self.places = [places[h] for h in self.hashes.tolist()]
+        self.short = {n: (np.array(sorted(at), np.uint64), dict(at)) for n, at in self.short.items()}
 
     def find(self, lexicon: Lexicon, text: str | None, share: float, agree: float) -> list[tuple[int | None, float, float]]:
         """(item_id, containment, slot agreement) of the items that a text leaks."""
@@ -148,8 +153,24 @@ class Index:
             for n, hit in self._find(hashes, values, share, agree):
                 if n not in best or hit[1:] > best[n][1:]:
                     best[n] = hit
+            for n, hit in self._find_short(hashes, values):
+                best.setdefault(n, hit)
         return list(best.values())
 
+    def _find_short(self, hashes: np.ndarray, words: Values) -> Iterator[tuple[int, tuple[int | None, float, float]]]:
+        """(item, hit) of items shorter than a window that a longer text holds with the same slots."""
+        for n, (known, places) in self.short.items():
+            if n >= len(hashes):
+                continue
+            w = shingles.windows(hashes, n)
+            at = np.searchsorted(known, w)
+            at[at == len(known)] = 0
+            for p in np.flatnonzero(known[at] == w).tolist():
+                for k in places[int(w[p])]:
+                    kinds, values = self.tokens[k]
+                    if all(kinds[o] == LITERAL or values[o] == words[p + o] for o in range(n)):
+                        yield self.item[k], (self.ids[k], 1.0, 1.0)
+
     def _find(self, hashes: np.ndarray, words: Values, share: float, agree: float) -> Iterator[tuple[int, tuple[int | None, float, float]]]:
         """(item, hit) of one reading of a text; an item may come twice."""
         if not len(hashes) or not len(self.hashes):

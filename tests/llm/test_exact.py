@@ -319,6 +319,13 @@ def test_templates_of_several_sentences():
     assert not find("Tom has many green pears in a bag. He sells some of them every week. She finds two more pears near the road. Where are they now?")
 
 
+def test_short_items_in_longer_documents():
+    index = decontam.Index([(1, "What is 7 + 8?"), (2, "Solve 3x + 7 = 22"), (3, "If Alice has 12 apples and Bob gives her 30 apples how many are there")], 5)
+    find = lambda t: {i for i, _, _ in index.find(decontam.Lexicon(), t, 0.8, 0.8)}
+    assert find("Here is a sum for you. What is 7 + 8? It is easy to see.") == {1} and find("As homework today: solve 3x + 7 = 22 and then rest") == {2}
+    assert find("What is 5 + 6?") == {1} and not find("Here is a sum for you. What is 5 + 6? It is easy to see.")
+
+
 def test_secrets(spark, sf_dir, texts):
     got = spark_secret_rows(spark, sf_dir)
     want = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
