@@ -28,21 +28,24 @@ class PieceEncoder:
     Neither kind of tokenizer merges over a space that stands after a character that isn't white space:
     byte-level ones start a new pre-token there, word-end ones drop the space. So a text's ids are those of
     its pieces in turn, and most pieces recur. A text in which such a boundary falls inside a run of white
-    space is encoded as one, unless the tokenizer drops white space anyway. A stop or comma after a letter is a
+    space is encoded as one, unless the tokenizer drops white space anyway; so is a text that holds one of the file's added
+    tokens, which the library finds before all else (special_as_text: it is ordinary text instead). A stop or comma after a letter is a
     pre-token of its own as well; with it set apart, and in lower case where the tokenizer lowers it, pieces
     recur still more often. Memory: two dictionaries of at most `keep` pieces each.
     """
 
-    def __init__(self, path: str, keep: int = 750_000):
+    def __init__(self, path: str, keep: int = 750_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         self.tok.no_truncation()
         self.tok.no_padding()
         one, a, b, up = (self._ids(x) for x in ("a b", "a", "b", "A"))
         self.drops, self.lowers = one == a + b, up == a
+        found = [t.content for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [a.lower() if self.lowers else a for a in found]
         self.keep, self.new, self.old, self.heads = keep, {}, {}, {}
         self.ends = {p: self._one(p) for p in _ENDS}
         self.wide = self.tok.get_vocab_size() > 1 << 16
@@ -90,9 +93,16 @@ class PieceEncoder:
             new[p] = new[body] + self.ends[p[-1]]
         return True
 
+    def _holds_added(self, text: str) -> bool:
+        if self.lowers:  # then pieces are in lower case, where such a token could seem to be
+            text = text.lower()
+        return any(a in text for a in self.added)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self._holds_added(text):
+            return self._one(text)
         head, spaced = b"", text
         if not self.drops:
             # a line feed between other signs is a pre-token of its own: it leads the piece after it

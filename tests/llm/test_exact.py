@@ -1,12 +1,16 @@
 """Against brute force, exact round trips and held-out accuracy on the given tables."""
 
+import gzip
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,19 +27,28 @@ def texts(duck):
 
 
 def plain(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=400, deadline=None)
-@given(text=st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Be", "'s", "12", ".", ",", "...", "é", "é", "ΣΑΣ", " ", "中文", "<|endoftext|>", "　", "!!", "_", "İ", "the", "The"]), max_size=14).map("".join))
+@given(text=st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Be", "'s", "12", ".", ",", "...", "é", "é", "ΣΑΣ", " ", "中文", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "　", "!!", "_", "İ", "the", "The"]), max_size=14).map("".join))
 def test_piece_encoder_is_exact(name, text):
     e = bpe.encoder(public_tokenizers.path(name))
     assert np.frombuffer(e.encode(text), "<u4").tolist() == plain_cached(name).encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens():
+    for name, text, ids in (("byte_bpe_50k.json", "a <|endoftext|> b", {50256}), ("word_bpe_49k.json", "<|startoftext|>a b<|endoftext|>", {49406, 49407})):
+        path = public_tokenizers.path(name)
+        got = np.frombuffer(bpe.PieceEncoder(path).encode(text), "<u4").tolist()
+        assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids and ids <= set(got)
+        as_text = Tokenizer.from_file(path)
+        as_text.encode_special_tokens = True
+        got = np.frombuffer(bpe.PieceEncoder(path, special_as_text=True).encode(text), "<u4").tolist()
+        assert got == as_text.encode(text, add_special_tokens=False).ids and not ids & set(got)
+
+
 _plain = {}
 
 
@@ -64,7 +77,7 @@ def test_token_files(spark, sf_dir, texts):
 @given(st.lists(st.lists(st.integers(0, 65535), max_size=40), min_size=1, max_size=12), st.booleans())
 def test_token_file_round_trip(docs, wide):
     raw = [(k, np.array([*d, 2], "<u4").tobytes()) for k, d in enumerate(docs)]
-    f = tokenfile.TokenFile(tokenfile.build(raw, 8, wide, batch_rows=2) + b"\n")
+    f = tokenfile.TokenFile(tokenfile.build(raw, 8, wide, batch_rows=2))
     flat = [i for d in docs for i in [*d, 2]]
     assert [x for _, _, _, ids in f.documents() for x in ids.tolist()] == flat
     assert [i for k in range(len(f)) for i, m in zip(f.sequence(k).tolist(), f.mask(k).to_pylist(), strict=True) if m] == flat
@@ -116,13 +129,35 @@ def test_same_as_duckdb(spark, sf_dir, duck, name):
 @given(st.binary(max_size=300), st.integers(1, 50), st.integers(1, 90))
 def test_warc_round_trip(body, chunk, segment):
     page = {"uid": 1, "page_id": 5, "url": "u", "html": body, "refers_to": None, "revisit": False}
-    parts = list(warc.parse(b"".join(warc.records(page, segment, chunk)) + b"\n"))
+    parts = list(warc.parse(warc.archive_of(list(warc.records(page, segment, chunk)))))
     assert warc.payload(b"".join(b for _, b in parts)) == body
     if len(parts) > 1:
         assert [int(f["warc-segment-number"]) for f, _ in parts] == list(range(1, len(parts) + 1))
         assert int(parts[-1][0]["warc-segment-total-length"]) == sum(len(b) for _, b in parts)
 
 
+def test_files_are_plain_gzip_and_arrow(spark, sf_dir):
+    """Other readers take the files as they are, to their last byte."""
+    path = common.shared_dir(spark, "warc")
+    warc.write(common.read_table(spark, sf_dir, "pages").limit(60), path, archive_bytes=100_000)
+    files = sorted(Path(path.removeprefix("file://")).glob("part-*"))
+    texts = [gzip.decompress(f.read_bytes()) for f in files]
+    assert len(files) > 1 and all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in texts)
+    path = common.shared_dir(spark, "tokens")
+    tokenfile.write(common.read_table(spark, sf_dir, "documents").limit(30), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    for f in Path(path.removeprefix("file://")).glob("part-*"):
+        raw = f.read_bytes()
+        reader = pa.BufferReader(raw)
+        assert pa.ipc.open_stream(reader).read_all().num_rows and reader.tell() == len(raw)
+
+
+def test_large_members_end_in_zero():
+    body = random.Random(1).randbytes(17 << 20)
+    member = gzip.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(body), body), 1, mtime=0)
+    whole = warc.archive_of([member])
+    assert member[-1] and whole[-1] == 0 and [b for _, b in warc.parse(whole)] == [body]
+
+
 def test_warc_detects_damage(spark):
     df = spark.createDataFrame([(1, "u", "x" * 4000)], "page_id long, url string, html string")
     path = common.shared_dir(spark, "warc")
