@@ -19,10 +19,13 @@ def tune(spark: SparkSession, batch_rows: int = 256) -> None:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A fresh path below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; on a cluster
+    that is an error, as machines don't share their own folders."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="coppice-")
         base = f"file://{_own_dir}"
     return f"{base.rstrip('/')}/coppice/{tag}-{uuid.uuid4().hex}"
@@ -57,11 +60,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def write_files(df: DataFrame, path: str, column: str = "file") -> None:
-    """Each row's bytes become one file (and one line feed after them) by Spark's own writer, on any file system.
+    """Each row's bytes become exactly one file by Spark's own writer, on any file system. They must end in a zero byte.
 
-    The text writer copies bytes as they are; readers of both formats here stop at their own end mark.
+    The text writer copies bytes as they are and ends a row with a separator: here with the file's own last byte.
     """
-    df.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    body = F.col(column)
+    ends = F.assert_true(F.substring(body, -1, 1) == F.lit(b"\0"), "a file that doesn't end in a zero byte")
+    rows = df.select(body, ends.alias("ends")).where("ends IS NULL").select(F.expr(f"substring(`{column}`, 1, octet_length(`{column}`) - 1)").cast("string").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A page becomes an HTTP response record. Its block is cut into segments of at most `segment_bytes`: the first
 is the response record (WARC-Segment-Number 1), the others are continuation records that name it by
 WARC-Segment-Origin-ID; the last carries WARC-Segment-Total-Length. Bodies use chunked transfer framing.
-Records are gzip members of their own, as is usual; archives hold about `archive_bytes` of html each.
+Records are gzip members of their own, as is usual; archives hold about `archive_bytes` of html each, and any gzip
+reader reads them to their end (they are named part-*, as Spark's writer names files).
 
 Reading groups segments by origin, orders them by number, checks that the numbers are gapless and that the
 lengths add up to the total, decodes the chunked framing and checks the payload digest; a record that fails
@@ -95,16 +96,24 @@ def records(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]
         yield _record(fields, cut)
 
 
+def archive_of(members: list[bytes]) -> bytes:
+    """Members in a row. A member ends in the highest byte of its size, which is zero below 16 MB; else an empty member ends the archive."""
+    whole = b"".join(members)
+    return whole if whole[-1:] == b"\0" else whole + gzip.compress(b"", mtime=0)
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields in lower case, block) of each gzip member; ends at what is no member."""
+    """(fields in lower case, block) of each gzip member that isn't empty."""
     at = 0
     view = memoryview(archive)
-    while archive[at : at + 2] == b"\x1f\x8b":
+    while at < len(archive):
         z = zlib.decompressobj(31)
         data = z.decompress(view[at:]) + z.flush()
         if not z.eof:
             raise ValueError("cut archive")
         at = len(archive) - len(z.unused_data)
+        if not data:
+            continue
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -141,10 +150,10 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
                 held += records(page, segment_bytes, chunk_bytes)
                 size += len(page["html"])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_pydict({"file": pa.array([b"".join(held)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([archive_of(held)], pa.binary())})
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pydict({"file": pa.array([b"".join(held)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([archive_of(held)], pa.binary())})
 
     common.write_files(marked.mapInArrow(archive, "file binary"), path)
 
