@@ -112,11 +112,19 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, "<u2")
 
 
+MAX_TASKS = 20_000  # of the writing exchange; larger inputs get larger tasks, each with files of the same size
+
+
+def _numbers(values: list, kind: str) -> Column:
+    """Many constants as one literal of the plan."""
+    return F.expr(f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)")
+
+
 def _between(key: Column, bounds: list[int], salt: Column) -> Column:
     """How many bounds lie below the key; for a key equal to bounds, a salted number up to those below or equal."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
+    table = _numbers(bounds, "bigint")
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
     def count(test) -> Column:  # by binary search
@@ -139,13 +147,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, seq_len: int
     size_in_bytes = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size_in_bytes >= 1 << 60:  # the planner knows nothing
         size_in_bytes = int(src.agg(F.sum(F.octet_length("text").cast("double") + 16)).first()[0] or 0)
-    parts = max(1, min(100_000, size_in_bytes // text_bytes + 1))
+    parts = max(1, min(MAX_TASKS, size_in_bytes // text_bytes + 1))
     # bounds come from the ids alone, so the texts are read once; an id that several bounds share (or null, which
     # sorts first) is dealt over all their partitions by a hash of the text: any order among equal ids will do
     cuts = [k / parts for k in range(1, parts)]
     low = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(low))
-    bounds = src.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(min(1_000_000, 50 * parts))).alias("b")).first()["b"] if cuts else []
+    bounds = src.agg(F.percentile_approx(key, _numbers(cuts, "double"), F.lit(min(1_000_000, 50 * parts))).alias("b")).first()["b"] if cuts else []
     part = _between(key, sorted(bounds or []), F.xxhash64("text"))
     ranged = src.repartitionById(parts, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
@@ -187,7 +195,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = common.staged(common.read_files(spark, path).mapInArrow(scan, "part long, chunk long, doc long, doc_id long, at long, n_tokens long, ids_crc32 long"), "tokens")
     common.tune(spark)
     files = rows.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("n"))  # one row a file
-    files = files.withColumn("base", F.sum("n").over(Window.orderBy("part", "chunk")) - F.col("n")).drop("n")
+    parts = files.groupBy("part").agg(F.sum("n").alias("whole"))  # at most MAX_TASKS rows
+    parts = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("before"))
+    files = files.withColumn("base", F.sum("n").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n")).join(parts, "part")
+    files = files.select("part", "chunk", (F.col("before") + F.col("base")).alias("base"))
     return rows.join(files, ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
