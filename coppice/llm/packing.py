@@ -28,6 +28,85 @@ from . import bpe, common
 PLAN = "length int, lo long, hi long, per int, seq long, at int"
 
 
+class Sums:
+    """Hash tables of the sums of two and of three lengths, over lengths that run out but never come back.
+
+    pairs[s] lists the longer lengths of the pairs with sum s, triples[s] the longest ones of the triples; both fall, and
+    a mark in each passes what has run out once and for all, so that a look-up needs no search.
+    """
+
+    def __init__(self, lengths: list[int], seq_len: int, left: dict[int, int]):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+        self.at2: Counter = Counter()
+        self.at3: Counter = Counter()
+        falling = np.array(sorted(lengths, reverse=True), np.int64)
+        there = np.zeros(seq_len + 1, bool)
+        there[falling] = True
+        for s in range(2, seq_len + 1):
+            a = falling[(2 * falling >= s) & (falling < s)]
+            if len(a := a[there[s - a]]):
+                self.pairs[s] = a.tolist()
+        has_pair = np.zeros(seq_len + 1, bool)
+        has_pair[np.array(list(self.pairs), np.int64)] = True
+        for s in range(3, seq_len + 1):
+            a = falling[(3 * falling >= s) & (falling < s - 1)]
+            if len(a := a[has_pair[s - a]]):
+                self.triples[s] = a.tolist()
+
+    def pair(self, s: int, used: Counter, most: int | None = None) -> tuple[int, int] | None:
+        """The pair of available lengths with sum s whose longer one is longest; `used`: what the block being built has taken."""
+        found, left = self.pairs.get(s), self.left
+        if not found:
+            return None
+        k = self.at2[s]
+        while k < len(found) and (not left.get(found[k]) or not left.get(s - found[k])):
+            k += 1
+        self.at2[s] = k
+        for a in found[k:] if k else found:
+            b = s - a
+            if most is not None and a > most:
+                continue
+            if left.get(a, 0) - used[a] > 0 and left.get(b, 0) - used[b] - (a == b) > 0:
+                return a, b
+        return None
+
+    def triple(self, s: int, used: Counter) -> tuple[int, int, int] | None:
+        found, left = self.triples.get(s), self.left
+        if not found:
+            return None
+        k = self.at3[s]
+        while k < len(found) and (not left.get(found[k]) or not self._ever(s - found[k])):
+            k += 1
+        self.at3[s] = k
+        for a in found[k:] if k else found:
+            if left.get(a, 0) - used[a] > 0:
+                used[a] += 1
+                rest = self.pair(s - a, used, a)
+                used[a] -= 1
+                if rest:
+                    return a, *rest
+        return None
+
+    def _ever(self, s: int) -> bool:
+        """Whether any pair with this sum is left at all."""
+        found = self.pairs.get(s)
+        if not found:
+            return False
+        k, left = self.at2[s], self.left
+        while k < len(found) and (not left.get(found[k]) or not left.get(s - found[k])):
+            k += 1
+        self.at2[s] = k
+        return k < len(found)
+
+    def fill(self, gap: int, used: Counter) -> tuple[int, ...] | None:
+        """Lengths that fill a gap exactly: one, else two, else three."""
+        if self.left.get(gap, 0) - used[gap] > 0:
+            return (gap,)
+        return self.pair(gap, used) or self.triple(gap, used)
+
+
 def plan(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int, int, int, int]]:
     """(length, lo, hi, per, seq, at): pieces of `length` with ranks lo..hi-1 go, `per` to a sequence, to
     sequences seq, seq+1, ... from offset `at` on.
@@ -36,61 +115,34 @@ def plan(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int, int,
     at most about sqrt(2 * seq_len) different lengths.
     """
     left = {n: c for n, c in counts.items() if c > 0}
-    used: Counter = Counter()
+    sums = Sums(list(left), seq_len, left)
+    falling = sorted(left, reverse=True)
+    placed: Counter = Counter()
     rows, seq = [], 0
-    free = np.zeros(seq_len + 1, np.int64)  # what a block being built may still take of each length
-
-    def pair(total: int) -> tuple[int, ...] | None:
-        """The pair of free lengths with this sum whose longer length is longest."""
-        if total < 2:
-            return None
-        a = np.arange((total + 1) // 2, total)
-        ok = np.flatnonzero((free[a] > 0) & (free[total - a] > (a == total - a)))
-        return (int(a[ok[-1]]), int(total - a[ok[-1]])) if len(ok) else None
-
-    def exact(gap: int) -> tuple[int, ...] | None:
-        if free[gap]:
-            return (gap,)
-        if found := pair(gap):
-            return found
-        for a in np.flatnonzero(free[: max(gap - 1, 0)])[::-1].tolist():
-            if 3 * a < gap:
-                break
-            free[a] -= 1
-            found = pair(gap - a)
-            free[a] += 1
-            if found:
-                return a, *found
-        return None
-
-    for n, c in left.items():
-        free[n] = c
     while left:
         top = max(left)
-        block, gap = [top], seq_len - top
-        free[top] -= 1
+        used, gap = Counter({top: 1}), seq_len - top
         while gap:
-            fill = exact(gap)
-            if fill is None:
-                fits = np.flatnonzero(free[: gap + 1])
-                if not len(fits):
+            take = sums.fill(gap, used)
+            if take is None:  # no exact complement: best fit, and the smaller gap is looked up again
+                take = next(((n,) for n in falling if n <= gap and left.get(n, 0) - used[n] > 0), None)
+                if take is None:
                     break
-                fill = (int(fits[-1]),)
-            for n in fill:
-                block.append(n)
+            for n in take:
+                used[n] += 1
                 gap -= n
-                free[n] -= 1
-        uses = Counter(block)
-        times = min(left[n] // k for n, k in uses.items())
+        times = min(left[n] // k for n, k in used.items() if k)
         at = 0
-        for n, k in uses.items():
-            rows.append((n, used[n], used[n] + k * times, k, seq, at))
+        for n, k in used.items():
+            if not k:
+                continue
+            rows.append((n, placed[n], placed[n] + k * times, k, seq, at))
             at += n * k
-            used[n] += k * times
+            placed[n] += k * times
             left[n] -= k * times
-            free[n] = left[n]
             if not left[n]:
                 del left[n]
+                falling.remove(n)
         seq += times
     return rows
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -100,6 +101,23 @@ def test_packing(spark, sf_dir, texts):
     assert got["sequence_id"].nunique() <= 1.01 * total / 2048 + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=12), st.integers(1, 40), st.dictionaries(st.integers(1, 40), st.integers(0, 3), max_size=6))
+def test_exact_complements(left, gap, gone):
+    """The tables find a single length, a pair or a triple exactly if brute force does, also after lengths have run out."""
+    sums = packing.Sums(list(left), 40, left)
+    for again in range(2):
+        have = [n for n, c in left.items() for _ in range(c)]
+        want = min((k for k in (1, 2, 3) for c in combinations(have, k) if sum(c) == gap), default=0)
+        got = sums.fill(gap, Counter())
+        assert (len(got) if got else 0) == want and (got is None or sum(got) == gap and not Counter(got) - Counter(have))
+        for n, c in gone.items():
+            if n in left and c:
+                left[n] -= min(c, left[n])
+                if not left[n]:
+                    del left[n]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(0, 50), max_size=20))
 def test_plan_places_every_piece_once(counts):
