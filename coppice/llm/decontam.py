@@ -3,19 +3,26 @@
 Texts become templates: words in lower case without outer punctuation, numbers (with a unit glued to them or not)
 as <num>, units as <unit>, capitalised words inside a sentence as <name>; what was replaced stays as the
 placeholder's slot. A run of names is one <name>, a number and the unit after it one <num>. Capitalised words that begin a
-sentence may be names or not, so items and documents have two readings, and of their matches the best counts. Five-token windows of templates are hash-joined with those of the benchmark items, so a
-question with other numbers, names or units still meets its item. A document leaks an item if, within a stretch of
-twice the item's length, it has at least `share` of the item's windows, and the slots agree: of the slot pairs in
-the matched windows at least `agree` follow one mapping from item values to document values and back, as they
-do when a question is re-parameterised (all values kept is the plain copy). Windows of fewer than three literal
-words count only where an item has no others. An item of fewer than five tokens is one window of its own length: documents of
-just that length match it like any other, longer ones where they have it with the same slots.
-
-The item index is broadcast block by block (`block_items` items at a time, a stated set against all documents), so
-its size doesn't grow with either table; documents are never shuffled. One row per document and item found:
-doc_id, item_id, containment, slot_agreement, contaminated (true). Null and empty texts match nothing, an item
-without words or with a null text is skipped, null ids are reported as null, repeated rows are each reported; an
-empty table gives an empty result; other columns are ignored.
+sentence may be names or not, so items and documents have two readings, and of their matches the best counts. Five-token
+windows of templates are hash-joined with those of the benchmark items, so a question with other numbers, names or
+units still meets its item. A document leaks an item if, within a stretch of twice the item's length, it has at least `share`
+of the item's windows, and the slots agree: of the slot pairs in the matched windows at least `agree` follow one
+mapping from item values to document values and back, as they do when a question is re-parameterised (all values kept is
+the plain copy). Windows of fewer than three literal words count only where an item has no others. An item of fewer than
+five tokens is one window of its own length: documents of just that length match it like any other, longer ones where
+they have it with the same slots.
+
+1. Items become a table of windows. Their hashes set bits of a filter (32 bits a window, at most 2 ** MOST_BITS: beyond
+   that more windows pass, and the join drops them), by which documents pass on only windows that an item may have; it is
+   all that is broadcast.
+2. The windows that pass are joined with the items' rarest ones: an item with n windows, of which it may miss m, is met by one of
+   its m + 1 rarest if it is leaked at all, so windows that very many items share make no candidates.
+3. Candidates (document, item) are joined with all their windows and tested one by one, each in a group of its own.
+
+One row per document and item found: doc_id, item_id, containment, slot_agreement, contaminated (true). Null and empty
+texts match nothing, an item without words or with a null text is skipped, null ids are reported as null, repeated
+rows are each reported, repeated items (same id and text) once; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +30,14 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, shingles
 
@@ -38,6 +45,7 @@ from . import common, shingles
 UNITS = "mm cm dm m km in ft yd mi mg g kg t oz lb ml cl l s sec min h hr hrs ms day days week weeks month months year years % ° °c °f usd eur gbp dollars euros cents hz khz mhz w kw v a j kj kb mb gb tb mph kmh".split()
 
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
+MOST_BITS = 28  # two to this power: 32 MB
 _OUTER = b" \t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*([^\W\d_]{1,4}|%|°)?$")
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(b"<%d>" % k)) for k in (NUM, UNIT, NAME)}
@@ -47,9 +55,17 @@ _units = frozenset(UNITS)
 class Lexicon:
     """Words as rows of small tables: template hash, kind, whether it may be a name, whether it ends a sentence or clause, whether it is a number without unit."""
 
+    _own: Lexicon | None = None
+
     def __init__(self):
         self.clear()
 
+    @classmethod
+    def shared(cls) -> Lexicon:
+        """One for each Python worker."""
+        cls._own = cls._own or cls()
+        return cls._own
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.hash, self.kind, self.cap, self.ends = array("Q"), array("b"), array("b"), array("b")
@@ -114,148 +130,175 @@ class Values:
         return b" ".join(self.words[self.starts[i] : end]).strip(_OUTER).lower()
 
 
-class Index:
-    """Windows of a block of items: sorted distinct hashes, and for each the (item, position) that have it."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], size: int):
-        lexicon, self.size = Lexicon(), size
-        self.ids, self.tokens, self.counts, self.item = [], [], [], []
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # by length and hash
-        for n, (item, text) in enumerate(items):
-            for r, (hashes, kinds, values) in enumerate(lexicon.readings(text)):
-                if not len(hashes) or r and len(hashes) < size:
-                    continue
-                w = shingles.windows(hashes, size)
-                literal = np.convolve(kinds == LITERAL, np.ones(min(size, len(kinds)), int), "valid")
-                use = literal >= 3
-                if not use.any():
-                    if r:
-                        continue
-                    use[:] = True
-                k = len(self.ids)
-                if len(hashes) < size:
-                    self.short[len(hashes)][int(w[0])].append(k)
-                for p in np.flatnonzero(use).tolist():
-                    places[int(w[p])].append((k, p))
-                self.ids.append(item)
-                self.item.append(n)
-                self.tokens.append((kinds, [values[i] for i in range(len(kinds))]))
-                self.counts.append(int(use.sum()))
-        self.hashes = np.array(sorted(places), np.uint64)
-        self.places = [places[h] for h in self.hashes.tolist()]
-        self.short = {n: (np.array(sorted(at), np.uint64), dict(at)) for n, at in self.short.items()}
-
-    def find(self, lexicon: Lexicon, text: str | None, share: float, agree: float) -> list[tuple[int | None, float, float]]:
-        """(item_id, containment, slot agreement) of the items that a text leaks."""
-        best: dict[int, tuple[int | None, float, float]] = {}
-        for hashes, _, values in lexicon.readings(text):
-            for n, hit in self._find(hashes, values, share, agree):
-                if n not in best or hit[1:] > best[n][1:]:
-                    best[n] = hit
-            for n, hit in self._find_short(hashes, values):
-                best.setdefault(n, hit)
-        return list(best.values())
-
-    def _find_short(self, hashes: np.ndarray, words: Values) -> Iterator[tuple[int, tuple[int | None, float, float]]]:
-        """(item, hit) of items shorter than a window that a longer text holds with the same slots."""
-        for n, (known, places) in self.short.items():
-            if n >= len(hashes):
-                continue
-            w = shingles.windows(hashes, n)
-            at = np.searchsorted(known, w)
-            at[at == len(known)] = 0
-            for p in np.flatnonzero(known[at] == w).tolist():
-                for k in places[int(w[p])]:
-                    kinds, values = self.tokens[k]
-                    if all(kinds[o] == LITERAL or values[o] == words[p + o] for o in range(n)):
-                        yield self.item[k], (self.ids[k], 1.0, 1.0)
-
-    def _find(self, hashes: np.ndarray, words: Values, share: float, agree: float) -> Iterator[tuple[int, tuple[int | None, float, float]]]:
-        """(item, hit) of one reading of a text; an item may come twice."""
-        if not len(hashes) or not len(self.hashes):
-            return
-        # an item shorter than a window is one window of its own length
-        w = shingles.windows(hashes, self.size)
-        at = np.searchsorted(self.hashes, w)
-        at[at == len(self.hashes)] = 0
-        hits = np.flatnonzero(self.hashes[at] == w)
-        met = defaultdict(list)
-        for p in hits.tolist():
-            for k, q in self.places[at[p]]:
-                met[k].append((p, q))
-        for k, pairs in met.items():
-            reach = 2 * len(self.tokens[k][0])
-            best, lo, inside = 0, 0, Counter()
-            span = (0, 0)
-            for hi, (p, q) in enumerate(pairs):
-                inside[q] += 1
-                while pairs[lo][0] < p - reach:
-                    inside[pairs[lo][1]] -= 1
-                    if not inside[pairs[lo][1]]:
-                        del inside[pairs[lo][1]]
-                    lo += 1
-                if len(inside) > best:
-                    best, span = len(inside), (lo, hi + 1)
-            contained = best / self.counts[k]
-            if contained < share:
+def _keys(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all windows; those of another size are other fingerprints."""
+    return shingles.windows(hashes, size) ^ np.uint64(min(size, len(hashes)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def item_windows(text: str | None, size: int) -> list[tuple[int, list[tuple[int, int, list[int], list[bytes]]]]]:
+    """(length in tokens, [(key, position, kinds, values) of each window that counts]) of an item's readings."""
+    out = []
+    for r, (hashes, kinds, values) in enumerate(Lexicon.shared().readings(text)):
+        n = len(hashes)
+        if not n or r and n < size:
+            continue
+        literal = np.convolve(kinds == LITERAL, np.ones(min(size, n), int), "valid")
+        use = literal >= 3
+        if not use.any():
+            if r:
                 continue
-            agreed = self._agreement(k, pairs[span[0] : span[1]], words)
-            if agreed >= agree:
-                yield self.item[k], (self.ids[k], contained, agreed)
-
-    def _agreement(self, k: int, pairs: list[tuple[int, int]], words: Values) -> float:
-        """Share of slot pairs that follow one mapping between item values and document values, both ways."""
-        kinds, values = self.tokens[k]
-        seen = Counter()
-        for p, q in pairs:
-            for o in range(min(self.size, len(kinds))):
-                if kinds[q + o] != LITERAL:
-                    seen[(int(kinds[q + o]), q + o, values[q + o], words[p + o])] += 1
-        if not seen:
-            return 1.0
-        slots = {(kind, pos, a, b) for kind, pos, a, b in seen}
-        there = Counter()
-        for kind, _, a, b in slots:
-            there[(kind, a, b)] += 1
-        by_a, by_b = defaultdict(Counter), defaultdict(Counter)
-        for (kind, a, b), n in there.items():
-            by_a[(kind, a)][b] += n
-            by_b[(kind, b)][a] += n
-        good = sum(n for (kind, a, b), n in there.items() if by_a[(kind, a)].most_common(1)[0][0] == b and by_b[(kind, b)].most_common(1)[0][0] == a)
-        return good / len(slots)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, agree: float = 0.8, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            use[:] = True
+        keys, k = _keys(hashes, size).view(np.int64), min(size, n)
+        out.append((n, [(int(keys[p]), p, kinds[p : p + k].tolist(), [values[i] for i in range(p, p + k)]) for p in np.flatnonzero(use).tolist()]))
+    return out
+
+
+def match(n: int, count: int, pairs: list[tuple], share: float, size: int) -> tuple[float, float]:
+    """(containment, slot agreement) of an item reading in a document reading.
+
+    n: the item's tokens, count: its windows. pairs: (p, q, kinds, item values, document values, whole) of each pair of equal windows.
+    """
+    if n < size:
+        p = max(pairs, key=lambda x: (x[5], x[3] == x[4]))
+        if p[5]:  # the document is no longer than the item
+            return 1.0, _agreement([p])
+        literal = all(k == LITERAL or a == b for k, a, b in zip(p[2], p[3], p[4], strict=True))
+        return (1.0, 1.0) if literal else (0.0, 0.0)
+    pairs = sorted(pairs, key=lambda x: x[:2])
+    reach, best, lo, inside, span = 2 * n, 0, 0, Counter(), (0, 0)
+    for hi, (p, q, *_) in enumerate(pairs):
+        inside[q] += 1
+        while pairs[lo][0] < p - reach:
+            inside[pairs[lo][1]] -= 1
+            if not inside[pairs[lo][1]]:
+                del inside[pairs[lo][1]]
+            lo += 1
+        if len(inside) > best:
+            best, span = len(inside), (lo, hi + 1)
+    contained = best / count
+    return (contained, _agreement(pairs[span[0] : span[1]])) if contained >= share else (contained, 0.0)
+
+
+def _agreement(pairs: list[tuple]) -> float:
+    """Share of slot pairs that follow one mapping between item values and document values, both ways."""
+    slots = set()
+    for _, q, kinds, mine, theirs, _ in pairs:
+        slots |= {(k, q + o, a, b) for o, (k, a, b) in enumerate(zip(kinds, mine, theirs, strict=True)) if k != LITERAL}
+    if not slots:
+        return 1.0
+    there = Counter((kind, a, b) for kind, _, a, b in slots)
+    by_a, by_b = defaultdict(Counter), defaultdict(Counter)
+    for (kind, a, b), n in there.items():
+        by_a[(kind, a)][b] += n
+        by_b[(kind, b)][a] += n
+    good = sum(n for (kind, a, b), n in there.items() if by_a[(kind, a)].most_common(1)[0][0] == b and by_b[(kind, b)].most_common(1)[0][0] == a)
+    return good / len(slots)
+
+
+_ITEM = "item long, reading int, n int, count int, spare int, key long, q int, kinds array<byte>, mine array<binary>"
+_HIT = "doc long, doc_id long, way int, key long, p int, theirs array<binary>, whole boolean"
+
+
+def _arrays(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+def _item_table(items: DataFrame, size: int, share: float) -> DataFrame:
+    """A row per window that counts of each item reading, items numbered."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int8()), pa.list_(pa.binary())]
+    names = [x.split()[0] for x in _ITEM.split(", ")]
+
+    def explode(batches):
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for r, (n, found) in enumerate(item_windows(text, size)):
+                    # share * count windows at least must be there, rounded as the test itself does
+                    least = next(k for k in range(max(1, ceil(share * len(found)) - 1), len(found) + 1) if k / len(found) >= share) if found else 0
+                    rows += [(item, r, n, len(found), len(found) - least, *w) for w in found]
+                    if len(rows) > 20_000:
+                        yield _arrays(rows, kinds, names)
+                        rows = []
+            yield _arrays(rows, kinds, names)
+
+    return items.select("item", "text").mapInArrow(explode, _ITEM)
+
+
+def _filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """Set bits of all keys, as 2 ** bits bits: gathered from at most 2 ** (bits - 6) rows."""
+    words = keys.select(F.expr(f"shiftrightunsigned(key, {70 - bits})").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) % 64 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    if got.num_rows:
+        out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> DataFrame:
+    """Windows of documents that pass the filter, with the values of all their tokens."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.bool_()]
+    names = [x.split()[0] for x in _HIT.split(", ")]
+
+    def probe(batches):
+        table = sent.value
+        for b in batches:
+            rows = []
+            for doc, doc_id, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for way, (hashes, _, values) in enumerate(Lexicon.shared().readings(text)):
+                    n = len(hashes)
+                    for k in sorted({min(size, n), *(x for x in lengths if x < n)}) if n else ():
+                        keys = _keys(hashes, k)
+                        slot = keys >> np.uint64(64 - bits)
+                        at = np.flatnonzero(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        whole = n <= k
+                        rows += [(doc, doc_id, way, key, p, [values[i] for i in range(p, p + k)], whole) for p, key in zip(at.tolist(), keys[at].view(np.int64).tolist(), strict=True)]
+                        if len(rows) > 5_000:
+                            yield _arrays(rows, kinds, names)
+                            rows = []
+            yield _arrays(rows, kinds, names)
+
+    return docs.mapInArrow(probe, _HIT)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, agree: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, item_id, containment, slot_agreement, contaminated: a row per document row and item that it leaks."""
     spark = docs.sparkSession
     common.tune(spark)
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    schema = "doc_id long, item_id long, containment double, slot_agreement double, contaminated boolean"
-
-    def against(block):
-        sent = spark.sparkContext.broadcast(Index(block, window))
-
-        def find(batches):
-            index, lexicon = sent.value, Lexicon()
-            for b in batches:
-                rows = [(d, *hit, True) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in index.find(lexicon, t, share, agree)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "containment", "slot_agreement", "contaminated"])
-
-        return src.mapInArrow(find, schema)
-
-    parts, block = [], []
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    for row in items.toLocalIterator():  # a block at a time on the driver
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            parts.append(against(block))
-            block = []
-    if block:
-        parts.append(against(block))
-    return reduce(DataFrame.union, parts) if parts else common.empty(spark, schema)
+    items = common.staged(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    windows = common.staged(_item_table(items, window, share), "windows")
+    lengths = [r[0] for r in windows.where(F.col("n") < window).select("n").distinct().collect()]  # fewer than `window` rows
+    bits = min(most_bits, max(16, windows.count().bit_length() + 5))
+    sent = spark.sparkContext.broadcast(_filter(windows.select("key"), bits))
+    src = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = common.staged(_hits(src, sent, bits, window, lengths), "hits")
+    sent.unpersist()
+
+    # an item's rarest windows, one more than it may miss
+    known = windows.groupBy("key").agg(F.count("*").alias("holders"))
+    first = windows.select("item", "reading", "spare", "key").distinct().join(known, "key")
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("item", "reading").orderBy("holders", "key"))).where("nth <= spare + 1")
+    first = common.staged(first.select("key", "item", "reading").distinct(), "rarest")
+    found = common.staged(hits.select("doc", "way", "key").distinct().join(first, "key").select("doc", "way", "item", "reading").distinct(), "candidates")
+    both = found.join(hits, ["doc", "way"]).join(windows, ["item", "reading", "key"])
+
+    # a group is what one document has of one item
+    pair = F.struct("p", "q", "kinds", "mine", "theirs", "whole")
+    grouped = both.groupBy("doc", "way", "item", "reading").agg(*[F.first(c).alias(c) for c in ("doc_id", "n", "count")], F.collect_list(pair).alias("pairs"))
+
+    def test(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                contained, agreed = match(r["n"], r["count"], [tuple(x.values()) for x in r["pairs"]], share, window)
+                if contained >= share and agreed >= agree:
+                    rows.append((r["doc"], r["doc_id"], r["item"], contained, agreed))
+            yield _arrays(rows, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], ["doc", "doc_id", "item", "containment", "slot_agreement"])
+
+    hit = grouped.mapInArrow(test, "doc long, doc_id long, item long, containment double, slot_agreement double")
+    best = hit.groupBy("doc", "item").agg(F.max(F.struct("containment", "slot_agreement")).alias("m"), F.max("doc_id").alias("doc_id"))
+    return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "m.containment", "m.slot_agreement", F.lit(True).alias("contaminated"))
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,31 +352,61 @@ def test_leaks(spark, sf_dir, duck, texts):
     assert want and got == want
 
 
-def test_templates():
-    index = decontam.Index([(1, "If Alice has 12 apples and Bob gives her 30 apples weighing 5 kg how many apples does Alice hold in total today")], 5)
-    find = lambda t, agree=0.8: index.find(decontam.Lexicon(), t, 0.8, agree)
-    assert find("So then: If Carol has 7 apples and Dan gives her 9 apples weighing 8 lb how many apples does Carol hold in total today.")
+def leaked(spark, items, texts, **options):
+    """{item: (containment, slot agreement)} of each text."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **options).collect()
+    return [{r["item_id"]: (r["containment"], r["slot_agreement"]) for r in got if r["doc_id"] == d} for d in range(len(texts))]
+
+
+def test_templates(spark):
+    items = [(1, "If Alice has 12 apples and Bob gives her 30 apples weighing 5 kg how many apples does Alice hold in total today")]
+    other = "So then: If Carol has 7 apples and Dan gives her 9 apples weighing 8 lb how many apples does Carol hold in total today."
     swapped = "If Carol has 7 apples and Dan gives her 7 apples weighing 7 lb how many apples does Dan hold in total today"
-    assert find(swapped, 0.0) and not find(swapped, 0.95)
-    assert not find("If a farmer has many apples and a friend sells some pears then how many apples does the farmer own at last now")
+    clean = "If a farmer has many apples and a friend sells some pears then how many apples does the farmer own at last now"
+    assert [bool(x) for x in leaked(spark, items, [other, swapped, clean])] == [True, False, False]
+    assert [bool(x) for x in leaked(spark, items, [other, swapped, clean], agree=0.0)] == [True, True, False]
+    assert [bool(x) for x in leaked(spark, items, [other, swapped, clean], most_bits=8)] == [True, False, False]  # a full filter loses nothing
 
 
-def test_templates_of_several_sentences():
+def test_templates_of_several_sentences(spark):
     item = "Tom has 12 red apples in a box. Tom eats 3 of them every day. Sara buys 5 more apples at the shop and carries 5 kg home. How many apples are left?"
-    index = decontam.Index([(1, item)], 5)
-    find = lambda t: index.find(decontam.Lexicon(), t, 0.8, 0.8)
     other = item.replace("Tom", "Ben").replace("12", "31").replace("3 of", "9 of").replace("5 more", "8 more")
-    assert find(item) == [(1, 1.0, 1.0)] and find(item.lower())
-    for first, second, weight in (("Ben", "Lucy", "7 kg"), ("Ben Smith", "Lucy", "7 kg"), ("Ben", "Mary Ann Jones", "7kg")):
-        assert find("So then. " + other.replace("Ben", first).replace("Sara", second).replace("5 kg", weight))
-    assert not find("Tom has many green pears in a bag. He sells some of them every week. She finds two more pears near the road. Where are they now?")
-
-
-def test_short_items_in_longer_documents():
-    index = decontam.Index([(1, "What is 7 + 8?"), (2, "Solve 3x + 7 = 22"), (3, "If Alice has 12 apples and Bob gives her 30 apples how many are there")], 5)
-    find = lambda t: {i for i, _, _ in index.find(decontam.Lexicon(), t, 0.8, 0.8)}
-    assert find("Here is a sum for you. What is 7 + 8? It is easy to see.") == {1} and find("As homework today: solve 3x + 7 = 22 and then rest") == {2}
-    assert find("What is 5 + 6?") == {1} and not find("Here is a sum for you. What is 5 + 6? It is easy to see.")
+    texts = [item, item.lower()]
+    texts += ["So then. " + other.replace("Ben", first).replace("Sara", second).replace("5 kg", weight) for first, second, weight in (("Ben", "Lucy", "7 kg"), ("Ben Smith", "Lucy", "7 kg"), ("Ben", "Mary Ann Jones", "7kg"))]
+    texts += ["Tom has many green pears in a bag. He sells some of them every week. She finds two more pears near the road. Where are they now?"]
+    got = leaked(spark, [(1, item)], texts)
+    assert got[0] == {1: (1.0, 1.0)} and all(got[:5]) and not got[5]
+
+
+def test_short_items_in_longer_documents(spark):
+    items = [(1, "What is 7 + 8?"), (2, "Solve 3x + 7 = 22"), (3, "If Alice has 12 apples and Bob gives her 30 apples how many are there")]
+    texts = ["Here is a sum for you. What is 7 + 8? It is easy to see.", "As homework today: solve 3x + 7 = 22 and then rest", "What is 5 + 6?", "Here is a sum for you. What is 5 + 6? It is easy to see."]
+    assert [set(x) for x in leaked(spark, items, texts)] == [{1}, {2}, {1}, set()]
+
+
+def test_reparameterised_items(spark):
+    """Generated questions with other names, numbers and units are found again; questions of other templates, and those
+    whose slots are mixed up, aren't. Many items share their opening words."""
+    rng = random.Random(6)
+    names = "Anna Boris Clara David Edith Frank Greta Henry Irene Jacob Karin Louis Marta Nils Olga Peter".split()
+    things = "apples stones ribbons lanterns baskets pencils carpets kettles ladders mirrors".split()
+    verbs = "buys sells paints stores counts washes sorts ships".split()
+    places = "market harbour library station garden museum theatre workshop".split()
+    word = lambda n: " ".join("".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) for _ in range(n))
+
+    def build(t, who, numbers, unit):
+        a, b, c = who
+        x, y, z = numbers
+        return f"Which of the following is right when {a} {t[1]} {x} {t[0]} near the old {t[2]} {t[3]} and {b} brings {y} {unit} of {t[4]} while {a} keeps {z} {t[0]} {t[5]} for {c} who waits {t[6]}?"
+
+    templates = [(rng.choice(things), rng.choice(verbs), rng.choice(places), word(4), word(2), word(4), word(4)) for _ in range(120)]
+    draw = lambda: (rng.sample(names, 3), rng.sample(range(2, 900), 3), rng.choice(["kg", "km", "lb", "hours"]))
+    items = [(k, build(t, *draw())) for k, t in enumerate(templates)]
+    again = [f"{word(12)}. {build(t, *draw())} {word(9)}." for t in templates]
+    others = [f"{word(12)}. {build((*t[:3], word(4), word(2), word(4), word(4)), *draw())} {word(9)}." for t in templates]
+    got = leaked(spark, items, again + others)
+    assert np.mean([set(x) == {k} for k, x in enumerate(got[:120])]) >= 0.9 and not any(got[120:])
 
 
 def test_secrets(spark, sf_dir, texts):
