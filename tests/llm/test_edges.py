@@ -88,8 +88,10 @@ def test_decontamination(docs, none, bench):
 
 
 def test_secrets(docs, none):
-    own = docs.drop("findings", "redacted", "_parts")
-    got = {r["doc_id"]: r for r in secrets.scan(own).collect()}
+    got = secrets.scan(docs)
+    assert got.columns == [*docs.columns, "findings_", "redacted_"] and got.select(*docs.columns).exceptAll(docs).count() == 0
+    assert got.schema["findings"] == docs.schema["findings"]
+    got = {r["doc_id"]: r for r in secrets.scan(docs.drop("findings", "redacted", "_parts")).collect()}
     assert SECRET not in got[6]["redacted"] and "[SECRET]" in got[6]["redacted"] and got[6]["text"][got[6]["findings"][0]["start"] :].startswith(SECRET)
     assert got[2]["redacted"] is None and got[2]["findings"] == [] and got[9]["redacted"] == ROWS[11][1]
     assert secrets.scan(none.drop("findings", "redacted")).count() == 0
@@ -165,3 +167,16 @@ def test_stages(spark, docs, none, labels, bench, tmp_path, name, stage):
             assert out.count() <= df.count()
         else:
             assert out.count() >= df.count()
+
+
+def test_stages_judge_each_row_by_its_own_text(spark, bench, tmp_path):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two, leak = "the first text has enough words to be compared", "a second text that is nothing like it at all", f"see {ITEM} there"
+    rows = [(5, one), (5, two), (5, one), (None, one), (None, two), (None, "a lone text without any number of its own"), (None, leak), (6, one), (7, leak), (7, "harmless words under a known id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = [tuple(r) for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()]
+    assert sorted(t for _, t in got) == sorted({t for _, t in rows})
+    assert {d for d, t in got if t in (one, two)} <= {5, 6} and (7, leak) in got and (None, leak) not in got
+    got = [tuple(r) for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(str(r) for r in rows if r[1] != leak)
