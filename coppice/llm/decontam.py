@@ -12,7 +12,7 @@ the plain copy). Windows of fewer than three literal words count only where an i
 five tokens is one window of its own length: documents of just that length match it like any other, longer ones where
 they have it with the same slots.
 
-1. Items become a table of windows. Their hashes set bits of a filter (32 bits a window, at most 2 ** MOST_BITS: beyond
+1. Items become a table of windows. Their hashes set bits of a filter (256 bits a window, at most 2 ** MOST_BITS: beyond
    that more windows pass, and the join drops them), by which documents pass on only windows that an item may have; it is
    all that is broadcast.
 2. The windows that pass are joined with the items' rarest ones: an item with n windows, of which it may miss m, is met by one of
@@ -226,8 +226,10 @@ def _item_table(items: DataFrame, size: int, share: float) -> DataFrame:
 
 
 def _filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Set bits of all keys, as 2 ** bits bits: gathered from at most 2 ** (bits - 6) rows."""
-    words = keys.select(F.expr(f"shiftrightunsigned(key, {70 - bits})").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) % 64 as int))").alias("bit"))
+    """2 ** bits bits, of which each key sets the two that its first and its next `bits` bits number; gathered as at most 2 ** (bits - 6) rows."""
+    first, second = (F.expr(f"shiftrightunsigned(key, {64 - k * bits}) & {(1 << bits) - 1}L") for k in (1, 2))
+    slots = keys.select(F.explode(F.array(first, second)).alias("slot"))
+    words = slots.select(F.expr("shiftrightunsigned(slot, 6)").alias("word"), F.expr("shiftleft(1L, cast(slot & 63L as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     if got.num_rows:
@@ -235,6 +237,15 @@ def _filter(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _passing(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the keys whose two bits are set."""
+    at = np.arange(len(keys))
+    for k in (1, 2):
+        slot = keys[at] >> np.uint64(64 - k * bits) & np.uint64((1 << bits) - 1)
+        at = at[(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
 def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> DataFrame:
     """Windows of documents that pass the filter, with the values of all their tokens."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.bool_()]
@@ -249,8 +260,7 @@ def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> Da
                     n = len(hashes)
                     for k in sorted({min(size, n), *(x for x in lengths if x < n)}) if n else ():
                         keys = _keys(hashes, k)
-                        slot = keys >> np.uint64(64 - bits)
-                        at = np.flatnonzero(table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        at = _passing(table, keys, bits)
                         whole = n <= k
                         rows += [(doc, doc_id, way, key, p, [values[i] for i in range(p, p + k)], whole) for p, key in zip(at.tolist(), keys[at].view(np.int64).tolist(), strict=True)]
                         if len(rows) > 5_000:
@@ -269,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float =
     items = common.staged(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
     windows = common.staged(_item_table(items, window, share), "windows")
     lengths = [r[0] for r in windows.where(F.col("n") < window).select("n").distinct().collect()]  # fewer than `window` rows
-    bits = min(most_bits, max(16, windows.count().bit_length() + 5))
+    bits = min(most_bits, windows.count().bit_length() + 8)
     sent = spark.sparkContext.broadcast(_filter(windows.select("key"), bits))
     src = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = common.staged(_hits(src, sent, bits, window, lengths), "hits")
