@@ -1,23 +1,27 @@
 """Sharding by balanced label propagation.
 
-Linked documents (members of a hub; here: equal texts) move towards the shard that most of their neighbours are
-in, as far as quotas allow; row counts of any two shards end at most one apart (law `rows`).
-
-- Hubs of more than an eighth of a shard, of which there can be no more than 8 * shards, are laid out first, largest
-  first, each into the emptiest shards, so that a hub that no shard can hold is cut into as few parts as possible.
-- All other linked documents start spread evenly. In each round every hub tallies its members' shards, and wants
-  the shard that has most of them among those with room for the rest; wishes are granted while a shard's quota lasts
-  (a running sum over hash buckets), and granted hubs' members move. Rounds end when none moves.
-- Documents without links fill what the quotas leave.
-
-All of it is grouped counts, equi-joins and ranks in buckets; the driver sees one row for each shard and for
-each large hub. Null text counts as empty text; rows with a null doc_id and repeated rows are placed like any other
-(equal texts belong together); an empty table gives an empty result; other columns are ignored.
+Linked documents (members of a hub; here: equal texts) move to the shard that most of their neighbours are in, as
+far as capacity allows; row counts of any two shards end at most one apart (law `rows`).
+
+- All linked documents start in a shard by a hash. Every hub tallies its members' shards; as all members of a hub are
+  neighbours of one another, its tally stays the same until it moves.
+- In each round every hub that hasn't moved yet wishes for the shard that has most of its members among those with room
+  for all of it (or, if none of these has, for any that has). Wishes are granted, larger hubs first, while the shard's quota lasts (a
+  running sum over classes of size and hash buckets); a granted hub holds its room whatever else stands there, as all that
+  stands there moves as well. So moves are exchanges, and need no empty shards.
+- A hub that no shard has room for is cut into parts of the largest room there is, each of which is a hub of its
+  own from then on. Rounds end when every hub has moved; each grants at least the first wish for every shard wished for.
+- Documents without links fill what is left of the quotas.
+
+All of it is grouped counts, equi-joins and ranks in buckets; the driver sees one row for each shard. Null text counts as
+empty text; rows with a null doc_id and repeated rows are placed like any other (equal texts belong together); an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,94 +44,94 @@ def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
-def lay_out(large: list[tuple[int, int]], free: list[int]) -> list[tuple[int, int, int, int]]:
-    """(hub, lo, hi, shard): members of large hubs by rank; takes from `free`."""
-    rows = []
-    for hub, n in sorted(large, key=lambda x: (-x[1], x[0])):
-        at = 0
-        while at < n:
-            fitting = [s for s in range(len(free)) if free[s] >= n - at]
-            # the tightest shard that takes all of it, else the emptiest
-            s = min(fitting, key=lambda k: (free[k], k)) if fitting else max(range(len(free)), key=lambda k: (free[k], -k))
-            take = min(free[s], n - at)
-            rows.append((hub, at, at + take, s))
-            free[s] -= take
-            at += take
-    return rows
+def cut(members: DataFrame, large: DataFrame, room: int, first: int, buckets: int) -> DataFrame:
+    """(uid, hub, part, start): members of the large hubs (hub, part) in parts of `room`, numbered from `first` on."""
+    some = members.join(large.select("hub", "part"), ["hub", "part"])
+    ranked = common.blocked_rank(some, ["hub", "part"], [F.col("uid")], "rank", buckets)
+    return ranked.select("uid", "hub", (F.expr(f"rank div {room}") + first).alias("part"), "start")
 
 
-def propagate(members: DataFrame, placed: DataFrame, free: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
-    """Label propagation under quotas. members: (uid, hub); placed: (uid, shard). Both written tables.
+def propagate(members: DataFrame, quota: list[int], buckets: int = 256) -> tuple[DataFrame, list[int]]:
+    """Label propagation under quotas. members: (uid, hub, part, start), a written table with part 0; quotas hold all of it.
 
-    A document in several hubs follows the largest that moves. Returns the new placement and what is free.
+    Returns (uid, shard) and what is left of each quota.
     """
-    spark = members.sparkSession
-    hubs = members.groupBy("hub").agg(F.count("*").alias("m"))
-    for r in range(rounds):
-        room = F.array(*[F.lit(max(0, x)) for x in free])
-        tally = members.join(placed, "uid").groupBy("hub", "shard").agg(F.count("*").alias("c")).join(hubs, "hub")
-        tally = tally.withColumn("need", F.col("m") - F.col("c"))
-        # a whole hub in one shard has nothing to wish for
-        wish = tally.where((F.col("need") == 0) | (F.element_at(room, F.col("shard") + 1) >= F.col("need")))
-        tie = F.xxhash64("hub", "shard", F.lit(r))
-        wish = wish.groupBy("hub").agg(F.max(F.struct("c", tie.alias("tie"), "shard", "need", "m")).alias("w")).select("hub", "w.shard", "w.need", "w.m").where("need > 0")
-        wish = wish.withColumn("bucket", F.pmod(F.xxhash64("hub", F.lit(-r)), F.lit(256)))
-        sums = wish.groupBy("shard", "bucket").agg(F.sum("need").alias("n"))
+    spark, shards, room = members.sparkSession, len(quota), list(quota)
+    made, generations, placements, first = [], [members], [], 1
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(common.staged(df, tag))
+        return made[-1]
+
+    def tally(df: DataFrame) -> DataFrame:
+        return keep(df.groupBy("hub", "part", "start").agg(F.count("*").alias("c")), "tally")
+
+    votes = [tally(members)]
+    waiting = keep(votes[0].groupBy("hub", "part").agg(F.sum("c").alias("m")), "waiting")
+    turn = 0
+    while waiting.limit(1).count():
+        most = max(room)
+        if (large := waiting.where(F.col("m") > most)).limit(1).count():
+            # one generation cuts parts of one hub one after the other, so that their new numbers can't meet
+            one = large.groupBy("hub").agg(F.min("part").alias("part"))
+            parts = keep(cut(_union(generations), one, most, first, buckets), "cut")
+            first = parts.agg(F.max("part")).first()[0] + 1
+            generations.append(parts)
+            votes.append(tally(parts))
+            rest = waiting.join(one, ["hub", "part"], "left_anti")
+            waiting = keep(rest.union(votes[-1].groupBy("hub", "part").agg(F.sum("c").alias("m"))), "waiting")
+            continue
+        rooms = F.array(*map(F.lit, room))
+        by_room = sorted(range(shards), key=lambda s: -room[s])
+        fits = F.size(F.filter(rooms, lambda r: r >= F.col("m")))
+        any_shard = F.element_at(F.array(*map(F.lit, by_room)), (F.pmod(F.xxhash64("hub", "part", F.lit(turn)), fits.cast("long")) + 1).cast("int"))
+        tie = F.xxhash64("hub", "part", "start", F.lit(turn))
+        voted = _union(votes).join(waiting, ["hub", "part"]).where(F.element_at(rooms, F.col("start") + 1) >= F.col("m"))
+        voted = voted.groupBy("hub", "part").agg(F.max(F.struct("c", tie.alias("tie"), "start")).alias("w")).select("hub", "part", F.col("w.start").alias("voted"))
+        wish = waiting.join(voted, ["hub", "part"], "left").select("hub", "part", "m", F.coalesce("voted", any_shard).alias("shard"))
+        turn_of = (64 - F.floor(F.log2("m"))) * buckets + F.pmod(F.xxhash64("part", "hub", F.lit(turn)), F.lit(buckets))
+        wish = keep(wish.withColumn("bucket", turn_of), "wishes")
+        sums = wish.groupBy("shard", "bucket").agg(F.sum("m").alias("n"))  # at most shards * buckets * classes rows
         sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-        run = F.sum("need").over(Window.partitionBy("shard", "bucket").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0))
-        granted = wish.withColumn("run", run).join(sums, ["shard", "bucket"]).where(F.col("base") + F.col("run") <= F.element_at(room, F.col("shard") + 1))
-        moves = members.join(granted.select("hub", F.col("shard").alias("to"), "m"), "hub").groupBy("uid").agg(F.max(F.struct("m", "hub", "to")).alias("w"))
-        after = placed.join(moves.select("uid", "w.to"), "uid", "left")
-        after = common.staged(after.select("uid", F.coalesce("to", "shard").cast("int").alias("shard"), (F.coalesce("to", "shard") != F.col("shard")).alias("moved"), F.col("shard").alias("was")), "placed")
-        flow = after.where("moved").groupBy("shard", "was").agg(F.count("*").alias("n")).collect()  # at most shards * shards rows
-        for row in flow:
-            free[row["shard"]] -= row["n"]
-            free[row["was"]] += row["n"]
-        placed = after.select("uid", "shard")
-        if not flow:
-            break
-    return placed, free
-
-
-def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        run = F.sum("m").over(Window.partitionBy("shard", "bucket").orderBy("hub", "part").rowsBetween(Window.unboundedPreceding, 0))
+        granted = wish.withColumn("run", run).join(sums, ["shard", "bucket"]).where(F.col("base") + F.col("run") <= F.element_at(rooms, F.col("shard") + 1))
+        placements.append(keep(granted.select("hub", "part", F.col("shard").cast("int").alias("shard"), "m"), "granted"))
+        for row in placements[-1].groupBy("shard").agg(F.sum("m").alias("n")).collect():  # at most a row for each shard
+            room[row["shard"]] -= row["n"]
+        waiting = keep(waiting.join(placements[-1].select("hub", "part"), ["hub", "part"], "left_anti"), "waiting")
+        turn += 1
+    if not placements:
+        return common.empty(spark, "uid long, shard int"), room
+    # a hub that was cut has no place itself, only its last parts have
+    whole = keep(_union(placements).select("hub", "part", "shard"), "places")
+    placed = common.staged(_union(generations).join(whole, ["hub", "part"]).select("uid", "shard"), "placed")
+    common.release(*made)
+    return placed, room
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: a row per input row."""
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
     # sha1 decides which texts are equal; its number stands for it as hub
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (F.octet_length("body") + 16).cast("long").alias("size"), F.crc32("body").alias("text_crc32"), F.sha1("body").alias("sha"))
     rows = common.staged(rows, "shard-rows")
     total = rows.count()
-    quota = quotas(total, shards)
+    buckets = max(256, total // 1_000_000)  # of ranks: only how many tasks share them
     groups = common.staged(rows.groupBy("sha").agg(F.count("*").alias("m"), F.min("uid").alias("hub")).where("m > 1"), "hubs")
-    bar = max(1, quota[-1] // 8)
-    large = [(r["hub"], r["m"]) for r in groups.where(F.col("m") > bar).collect()]  # at most 8 * shards, or total / 2 of a tiny table
-    free = list(quota)
-    plan = lay_out(large, free)
-    linked = common.staged(rows.join(groups, "sha").select("uid", "hub", "m"), "linked")
-    parts = []
-    if plan:
-        ranked = common.blocked_rank(linked.where(F.col("m") > bar).select("uid", "hub"), ["hub"], [F.col("uid")], "rank")
-        places = spark.createDataFrame(plan, "hub long, lo long, hi long, shard int")  # bounded like `large`
-        parts.append(ranked.join(F.broadcast(places), "hub").where("rank >= lo AND rank < hi").select("uid", "shard"))
-    small = common.staged(linked.where(F.col("m") <= bar).select("uid", "hub"), "members")
-    n_small, room = small.count(), sum(free)
-    if n_small:
-        share = [f * n_small // room for f in free]
-        for s in sorted(range(shards), key=lambda k: share[k] - free[k])[: n_small - sum(share)]:
-            share[s] += 1
-        start = common.blocked_rank(small.select("uid"), [], [F.col("uid")], "rank", 256)
-        placed = common.staged(start.select("uid", _by_ranges(F.col("rank"), enumerate(share)).alias("shard")), "placed")
-        placed, free = propagate(small, placed, [f - s for f, s in zip(free, share, strict=True)], rounds)
-        parts.append(placed)
+    start = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
+    linked = common.staged(rows.join(groups, "sha").select("uid", "hub", F.lit(0).cast("long").alias("part"), start.alias("start")), "linked")
+    placed, free = propagate(linked, quotas(total, shards), buckets)
     lone = rows.join(groups.select("sha"), "sha", "left_anti").select("uid")
-    lone = common.blocked_rank(lone, [], [F.col("uid")], "rank", 256)
-    parts.append(lone.select("uid", _by_ranges(F.col("rank"), enumerate(free)).alias("shard")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    lone = common.blocked_rank(lone, [], [F.col("uid")], "rank", buckets)
+    every = placed.union(lone.select("uid", _by_ranges(F.col("rank"), enumerate(free)).alias("shard")))
     every = common.staged(every, "shards")
-    slots = common.blocked_rank(every, ["shard"], [F.col("uid")], "slot", 256)
+    common.release(groups, linked, placed)
+    slots = common.blocked_rank(every, ["shard"], [F.col("uid")], "slot", buckets)
     return rows.join(slots, "uid").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
