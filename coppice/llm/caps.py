@@ -37,15 +37,16 @@ SLACK = 1e-9  # on angles and cosines where bounds decide instead of products
 
 
 @lru_cache(256)
-def codes(dim: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
-    """Rotation, each block's Gaussian code words (rows) and the blocks: projections on whole directions are standard normal."""
+def codes(dim: int, blocks: int, words: int, seed: int, turned: bool = True) -> tuple[np.ndarray | None, list[np.ndarray], list[slice]]:
+    """Rotation, each block's Gaussian code words (rows) and the blocks: projections on whole directions are standard normal.
+    turned: with a rotation; vectors of random directions need none."""
     rng = np.random.default_rng(seed)
-    q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+    rotation = None
+    if turned:
+        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+        rotation = q * np.sign(np.diag(r))
     cuts = [slice(dim * k // blocks, dim * (k + 1) // blocks) for k in range(blocks)]
-    out = []
-    for c in cuts:
-        out.append(rng.normal(size=(words, c.stop - c.start)))
-    return q * np.sign(np.diag(r)), out, cuts
+    return rotation, [rng.normal(size=(words, c.stop - c.start)) for c in cuts], cuts
 
 
 def shape(n: int, dim: int, per_vector: float) -> tuple[int, int, float]:
@@ -57,10 +58,10 @@ def shape(n: int, dim: int, per_vector: float) -> tuple[int, int, float]:
     return blocks, max(2, ceil(count ** (1 / blocks))), -NormalDist().inv_cdf(share)
 
 
-def filters(unit: np.ndarray, blocks: int, words: int, height: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def filters(unit: np.ndarray, blocks: int, words: int, height: float, seed: int, turned: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all directions whose inner product with a row exceeds the height."""
-    rotation, code, cuts = codes(unit.shape[1], blocks, words, seed)
-    x = unit @ rotation
+    rotation, code, cuts = codes(unit.shape[1], blocks, words, seed, turned)
+    x = unit @ rotation if turned else unit
     dots = [x[:, c] @ w.T for c, w in zip(cuts, code, strict=True)]
     after = np.stack([d.max(axis=1) for d in dots])[::-1].cumsum(axis=0)[::-1]  # the most that blocks k.. can add
     row, part, key = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
@@ -90,7 +91,7 @@ def chance(dim: int, blocks: int, words: int, height: float, cosine: float, seed
         else:
             y -= np.einsum("ij,ij->i", x, y)[:, None] * x
             y = cosine * x + sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-        row, key = filters(np.concatenate([x, y]), blocks, words, height, seed + 1 + t)
+        row, key = filters(np.concatenate([x, y]), blocks, words, height, seed + 1 + t, turned=False)
         a, b = (set(zip((row[side] % pairs).tolist(), key[side].tolist(), strict=True)) for side in (row < pairs, row >= pairs))
         met += len({r for r, _ in a & b})
         codes.cache_clear()
@@ -163,7 +164,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
                 yield pa.RecordBatch.from_pylist([{"dim": d, "blocks": plan[0], "words": plan[1], "height": plan[2], "turns": k}], pa.schema(kinds))
 
     kinds = [("dim", pa.int32()), ("blocks", pa.int32()), ("words", pa.int64()), ("height", pa.float64()), ("turns", pa.int32())]
-    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).where("n > 1")
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1")
     plans = common.staged(sizes.repartition("dim").mapInArrow(measure, "dim int, blocks int, words long, height double, turns int"), "codes")
 
     def decode(batches):
@@ -179,7 +180,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
                     cols = [ids[row], np.full(len(row), d, np.int32), np.full(len(row), k, np.int32), key, signs[row, 0], signs[row, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "dim", "code", "key", "s1", "s2"])
 
-    planned = vectors.join(plans, "dim").select("id", "vec", "dim", "blocks", "words", "height", "turns")
+    planned = vectors.join(plans, "dim").select("id", "vec", "dim", "blocks", "words", "height", "turns").sortWithinPartitions("dim")  # one code after the other
     caps = common.staged(planned.mapInArrow(decode, "id long, dim int, code int, key long, s1 long, s2 long"), "caps")
     cell = ["dim", "code", "key"]
 
