@@ -271,7 +271,7 @@ def scan(docs: DataFrame, forest: list | None = None, least: float = 0.5, text_c
     plain = F.translate(text, OPEN + SHUT, "  ")
     parts = F.split(F.regexp_replace(plain, F.lit(CANDIDATE), F.lit(f"$1{OPEN}$2$3{SHUT}")), OPEN)
     # split() gives one part where the regex has matched nothing, and then sequence(1, 0) would count down
-    marked = docs.toDF(*own).withColumn("_parts", F.when(plain.rlike(CANDIDATE), parts))
+    marked = docs.toDF(*own).withColumn("_parts", F.when(text.rlike(CANDIDATE), parts))
 
     def tail(p: Column) -> Column:
         return F.when(F.instr(p, SHUT) > 0, F.substring_index(p, SHUT, -1)).otherwise(p)
