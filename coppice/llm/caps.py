@@ -132,7 +132,11 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, most: str = "vec") -> DataFra
     def product(batches):
         for x in batches:
             if x.num_rows:
-                c = np.einsum("ij,ij->i", _unit(x.column("va").to_pylist()), _unit(x.column("vb").to_pylist()))
+                va, vb = x.column("va").to_pylist(), x.column("vb").to_pylist()  # a pair's vectors are of one length, a batch's may be of many
+                lengths, c = np.array([len(v) for v in va]), np.empty(x.num_rows)
+                for d in np.unique(lengths):
+                    at = np.flatnonzero(lengths == d)
+                    c[at] = np.einsum("ij,ij->i", _unit([va[i] for i in at]), _unit([vb[i] for i in at]))
                 yield pa.RecordBatch.from_arrays([*x.columns[:-2], pa.array(c)], names=[*x.schema.names[:-2], "cos"])
 
     return both.mapInArrow(product, f"{kinds}, cos double")
@@ -140,20 +144,20 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, most: str = "vec") -> DataFra
 
 def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.0, rotations: int = 8, miss: float = 1e-4, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per input row. `rotations` is the least number of them."""
-    spark = table.sparkSession
-    common.tune(spark, 2000)
+    common.tune(table.sparkSession, 2000)
+    scratch = common.Scratch()
     theta = acos(cosine)
     src = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     ok = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False)))
     good = src.where("ok").select("vec_id", "vec", F.sha1(F.concat_ws(",", F.col("vec").cast("array<string>"))).alias("h"))
     # written first, so that the join of a very common vector may be split
-    same = common.staged(good.groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vec-same")
+    same = scratch.staged(good.groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vec-same")
     member = common.staged(good.select("vec_id", "h").join(same, "h").select("vec_id", "id", "m", "h"), "vec-copies")
     owners = member.where("vec_id = id").select("vec_id", "h", "id", "m").distinct()
     vectors = good.select("vec_id", "vec", "h").join(owners.select("vec_id", "h"), ["vec_id", "h"], "left_semi").dropDuplicates(["h"])
     # an id that is repeated with other vectors stands for several: h tells these apart from here on
-    vectors = common.staged(vectors.select(F.xxhash64("h").alias("id"), F.col("vec_id").alias("name"), "vec", F.size("vec").alias("dim")).join(owners.select(F.xxhash64("h").alias("id"), "m"), "id"), "vectors")
+    vectors = scratch.staged(vectors.select(F.xxhash64("h").alias("id"), F.col("vec_id").alias("name"), "vec", F.size("vec").alias("dim")).join(owners.select(F.xxhash64("h").alias("id"), "m"), "id"), "vectors")
     member = member.withColumn("own", F.xxhash64("h"))
 
     def measure(batches):
@@ -165,7 +169,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
 
     kinds = [("dim", pa.int32()), ("blocks", pa.int32()), ("words", pa.int64()), ("height", pa.float64()), ("turns", pa.int32())]
     sizes = vectors.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1")
-    plans = common.staged(sizes.repartition("dim").mapInArrow(measure, "dim int, blocks int, words long, height double, turns int"), "codes")
+    plans = scratch.staged(sizes.repartition("dim").mapInArrow(measure, "dim int, blocks int, words long, height double, turns int"), "codes")
 
     def decode(batches):
         for b in batches:
@@ -181,20 +185,20 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "dim", "code", "key", "s1", "s2"])
 
     planned = vectors.join(plans, "dim").select("id", "vec", "dim", "blocks", "words", "height", "turns").sortWithinPartitions("dim")  # one code after the other
-    caps = common.staged(planned.mapInArrow(decode, "id long, dim int, code int, key long, s1 long, s2 long"), "caps")
+    caps = scratch.staged(planned.mapInArrow(decode, "id long, dim int, code int, key long, s1 long, s2 long"), "caps")
     cell = ["dim", "code", "key"]
 
     # tight groups: star edges to each filter's smallest id, within half the link angle
     leads = caps.groupBy(*cell).agg(F.min(F.struct(F.col("id").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))).alias("l"), F.count("*").alias("c")).where("c > 1").select(*cell, "l.*")
     stars = caps.join(leads, cell).where((F.col("id") != F.col("b")) & _within(F.lit(theta / 2))).select(F.col("id").alias("a"), "b").distinct()
-    near = common.staged(_cosines(stars, vectors).where(F.col("cos") >= float(np.cos(theta / 2 - SLACK))), "tight")
+    near = scratch.staged(_cosines(stars, vectors).where(F.col("cos") >= float(np.cos(theta / 2 - SLACK))), "tight")
     # a leader must not follow another: an id is assigned only if its smallest leader has none itself
     first = near.groupBy("a").agg(F.min("b").alias("lead"), F.min_by("cos", "b").alias("cos"))
     follows = first.join(first.select(F.col("a").alias("lead")), "lead", "left_anti").select(F.col("a").alias("id"), "lead", "cos")
     grouped = vectors.select("id", "name", "m").join(follows, "id", "left")
     grouped = grouped.select("id", "name", "m", F.coalesce("lead", "id").alias("g"), F.coalesce(F.acos(F.least(F.col("cos"), F.lit(1.0))), F.lit(0.0)).alias("r"))
-    grouped = common.staged(grouped, "groups")
-    ball = common.staged(grouped.groupBy("g").agg(F.sum("m").alias("size"), F.max("r").alias("radius"), F.count("*").alias("texts")), "balls")
+    grouped = scratch.staged(grouped, "groups")
+    ball = scratch.staged(grouped.groupBy("g").agg(F.sum("m").alias("size"), F.max("r").alias("radius"), F.count("*").alias("texts")), "balls")
 
     # pairs of groups that share a filter
     signs = grouped.where("id = g").select("g").join(caps.select(F.col("id").alias("g"), "s1", "s2").dropDuplicates(["g"]), "g").join(ball.select("g", "radius"), "g")
@@ -206,7 +210,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     met = met.join(ra, "a").join(rb, "b").withColumn("ang", F.acos(F.greatest(F.least(F.col("cos"), F.lit(1.0)), F.lit(-1.0))))
     met = met.where(F.col("ang") - F.col("ra") - F.col("rb") <= theta + SLACK)
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
-    met = common.staged(met.withColumn("sure", F.when(single, F.col("cos") >= cosine).otherwise(F.col("ang") + F.col("ra") + F.col("rb") <= theta - SLACK)).where(~single | F.col("sure")), "met")
+    met = scratch.staged(met.withColumn("sure", F.when(single, F.col("cos") >= cosine).otherwise(F.col("ang") + F.col("ra") + F.col("rb") <= theta - SLACK)).where(~single | F.col("sure")), "met")
     sure = met.where("sure").select("a", "b")
     # the others: every member of one against the other's leader first, then member by member
     ga = grouped.select(F.col("g").alias("a"), F.col("id").alias("ia"))
@@ -215,7 +219,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     toward = unsure.join(ga.withColumnRenamed("a", "ga"), "ga").select(F.col("ia").alias("a"), F.col("gb").alias("b"), "rb")
     toward = _cosines(toward, vectors).where(F.acos(F.greatest(F.least(F.col("cos"), F.lit(1.0)), F.lit(-1.0))) - F.col("rb") <= theta + SLACK)
     cross = toward.select(F.col("a").alias("ia"), "b").join(gb, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    cross = common.staged(_cosines(cross, vectors).where(F.col("cos") >= cosine).select("a", "b"), "cross")
+    cross = scratch.staged(_cosines(cross, vectors).where(F.col("cos") >= cosine).select("a", "b"), "cross")
 
     # links of an owner: its copies, its group, its sure neighbour groups, its verified neighbours
     gs = sure.union(sure.select("b", "a")).toDF("g", "o").join(ball.select(F.col("g").alias("o"), "size"), "o").groupBy("g").agg(F.sum("size").alias("by_group"))
@@ -232,7 +236,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_vector: float = 11.
     comp = common.components(edges).select(F.col("id").alias("g"), "component")
     whole = labels.join(comp, "g", "left").select("g", "low", F.coalesce("component", "g").alias("c"))
     lows = whole.groupBy("c").agg(F.min("low").alias("component_id"))
-    per = own.join(whole.select("g", "c"), "g").join(lows, "c").select("id", "n_links", "component_id")
+    per = common.staged(own.join(whole.select("g", "c"), "g").join(lows, "c").select("id", "n_links", "component_id"), "classes")
+    scratch.drop()
     done = names.join(per, "id").select("vec_id", "n_links", "component_id")
     lone = src.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -55,6 +55,21 @@ def release(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+class Scratch:
+    """Written tables of one operator, deleted together when its last one is written."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(staged(df, tag))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        release(*self.made)
+        self.made.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -165,37 +165,39 @@ def rest_pairs(open_rows: DataFrame, floor: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per input row. Links: den * intersection >= num * union."""
     floor = margin(num / den)
+    scratch = common.Scratch()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = common.staged(fingerprints(docs, shingle, "doc_id", "text"), "minhash")
     known = prints.where("doc_id IS NOT NULL AND n_shingles > 0")
     # written first: in a stage with its own aggregation a hot group's join couldn't be split
-    firsts = common.staged(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "firsts")
-    copies = common.staged(known.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "rep", "hi", "lo"), "copies")
+    firsts = scratch.staged(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "firsts")
+    copies = scratch.staged(known.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "rep", "hi", "lo"), "copies")
     # a repeated doc_id may hold several texts: each distinct text is linked under that id
     reps = known.join(copies.where("doc_id = rep").select("doc_id", "hi", "lo").distinct(), ["doc_id", "hi", "lo"], "left_semi")
-    reps = common.staged(reps.dropDuplicates(["doc_id", "hi", "lo"]).select("doc_id", "bands", "sig"), "reps")
+    reps = scratch.staged(reps.dropDuplicates(["doc_id", "hi", "lo"]).select("doc_id", "bands", "sig"), "reps")
     texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi")
 
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     tops = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    shared = common.staged(buckets.join(tops, ["band", "key"]).select("band", "key", "doc_id", "lead", "m"), "buckets")
+    shared = scratch.staged(buckets.join(tops, ["band", "key"]).select("band", "key", "doc_id", "lead", "m"), "buckets")
     stars = shared.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = common.staged(confirm(common.staged(likely(stars, reps, floor), "likely"), texts, shingle, num, den).distinct(), "links")
-    comp = common.staged(common.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    links = scratch.staged(confirm(scratch.staged(likely(stars, reps, floor), "likely"), texts, shingle, num, den).distinct(), "links")
+    comp = scratch.staged(common.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
     # only buckets of three or more texts can hold pairs that no star has tested
     labelled = shared.where("m > 2").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     mixed = labelled.where("doc_id <> lead").groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     held = labelled.where("doc_id <> lead").join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("band", "key", "doc_id", "comp")
     more = rest_pairs(held.join(reps, "doc_id").select("band", "key", "doc_id", "comp", "bands", "sig"), floor)
-    more = common.staged(confirm(common.staged(more, "rest"), texts, shingle, num, den).distinct(), "links")
+    more = scratch.staged(confirm(scratch.staged(more, "rest"), texts, shingle, num, den).distinct(), "links")
 
     # copies follow their first text; only ids that are repeated with several texts tie these together
     several = copies.groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1")
     bridges = copies.join(several.select("doc_id"), "doc_id", "left_semi").where("doc_id <> rep").select("doc_id", "rep")
-    final = common.staged(common.components(links.union(more).union(bridges).toDF("src", "dst")).select(F.col("id").alias("rep"), "component"), "components")
+    final = scratch.staged(common.components(links.union(more).union(bridges).toDF("src", "dst")).select(F.col("id").alias("rep"), "component"), "components")
     placed = copies.join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     placed = common.staged(placed.groupBy("doc_id").agg(F.min("component").alias("component")), "placed")
+    scratch.drop()
     out = prints.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

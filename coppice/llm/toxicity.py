@@ -96,6 +96,15 @@ def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: fl
     step = 0
 
     batches = max(1, -(-len(docs) // 64))
+    place = np.zeros(max(BUCKETS, len(index)), np.int64)
+
+    def unique(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values in order and where each of x is among them, without sorting."""
+        there = np.zeros(size, bool)
+        there[x] = True
+        found = np.flatnonzero(there)
+        place[found] = np.arange(len(found))
+        return found, place[x]
 
     def adam(name, value, grad, rows=None):
         m, v = state[name]
@@ -112,7 +121,7 @@ def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: fl
             row = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
             if not len(ids):
                 continue
-            uniq, inv = np.unique(ids, return_inverse=True)
+            uniq, inv = unique(ids, len(index))
             lens = sizes[uniq]
             own = np.repeat(starts[uniq] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
             g = flat[own]
@@ -125,7 +134,7 @@ def fit(bags: list[tuple[list[bytes], list[int]]], labels: np.ndarray, prior: fl
             d = (p - np.eye(2, dtype=np.float32)[labels[part]]) * weight[part][:, None] / len(part)
             dh = d @ w.T
             dv = np.stack([np.bincount(inv, share * dh[row, k], len(uniq)) for k in range(dim)], axis=1)
-            rows, back = np.unique(g, return_inverse=True)
+            rows, back = unique(g, BUCKETS)
             spread = np.repeat(dv, lens, axis=0)
             de = np.stack([np.bincount(back, spread[:, k], len(rows)) for k in range(dim)], axis=1).astype(np.float32)
             adam("e", e, de + decay * e[rows], rows)

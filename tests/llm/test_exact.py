@@ -560,6 +560,41 @@ def test_quality(spark, sf_dir, duck):
     assert len(got) == 1000 and ((m["quality"] == 1) == m["kept"]).mean() > 0.99
 
 
+def test_quality_held_out(spark, duck):
+    """Trained on three quarters of the labels of a larger table, judged on the others."""
+    from coppice.llm import quality
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (common.read_table(spark, sf, n) for n in ("documents", "labels"))
+    got = quality.score(docs, quality.train(docs, labels.where(~toxicity.held_out("doc_id")))).toPandas()
+    m = got.merge(duck.sql(f"select doc_id, quality from '{sf}/labels.parquet'").df(), on="doc_id")
+    m = m[m["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)]
+    good = m["quality"] == 1
+    assert len(m) > 500 and (good == m["kept"]).mean() > 0.95 and m.loc[good, "kept"].mean() > 0.95
+
+
+def test_quality_of_four_grades(spark):
+    """Graded ratings through train(): texts with more and more junk, graded 1, 2, 3 and 5; grades of unseen texts."""
+    from coppice.llm import quality
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    junk = ["$$$", "CLICK", "!!!", "xx9x9", "WIN", "###", "FREE", "1000%"]
+
+    def text(grade):
+        share = {1: 0.55, 2: 0.33, 3: 0.15, 5: 0.02}[grade]
+        return " ".join(rng.choice(junk) if rng.random() < share else rng.choice(words) for _ in range(rng.randint(60, 160)))
+
+    rows = [(k, g, text(g)) for k, g in enumerate([1, 2, 3, 5] * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, grade int, text string")
+    model = quality.train(df, df.where("doc_id < 400").select("doc_id", "grade"), rating="grade")
+    assert model.grades == [1, 2, 3, 5] and (np.diff(model.thresholds) > 0).all()
+    got = quality.score(df.where("doc_id >= 400"), model, good=3).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "grade", "text"]), on="doc_id")
+    assert (got["expected_grade"] - got["grade"]).abs().mean() < 0.5 and ((got["grade"] >= 3) == got["kept"]).mean() > 0.9
+    means = got.groupby("grade")["expected_grade"].mean()
+    assert (np.diff(means[[1, 2, 3, 5]]) > 0.5).all()
+
+
 def test_ordered_thresholds():
     from coppice.llm import quality
 
