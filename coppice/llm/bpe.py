@@ -8,6 +8,7 @@ from array import array
 
 import numpy as np
 
+from . import common
 
 _STUCK = re.compile(r"(?:[^\w\s]|_)[.,] ")  # a stop or comma that continues a run of punctuation
 _ENDS = (".", ",")
@@ -34,7 +35,7 @@ class PieceEncoder:
     recur still more often. Memory: two dictionaries of at most `keep` pieces each.
     """
 
-    def __init__(self, path: str, keep: int = 750_000, special_as_text: bool = False):
+    def __init__(self, path: str, keep: int = 400_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -139,7 +140,8 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each Python worker and file, until a task takes another's cache (common.take_turn)."""
+    common.take_turn(path, lambda: _encoders.pop(path, None))
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

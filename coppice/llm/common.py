@@ -1,9 +1,12 @@
-"""Shared plumbing: shared-folder staging, raw file sink, distributed ranks, connected components."""
+"""Shared plumbing: worker caches, shared-folder staging, raw file sink, distributed ranks, connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _own_dir: str | None = None
+_caches: dict[str, Callable[[], object]] = {}
 
 
 def tune(spark: SparkSession, batch_rows: int = 256) -> None:
@@ -18,6 +22,19 @@ def tune(spark: SparkSession, batch_rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
+def take_turn(name: str, clear: Callable[[], object]) -> None:
+    """Called by a task that is about to fill the Python worker's cache `name`, which clear() empties. All others are emptied: Spark
+    uses its workers again, so the caches of one operator would stay beside those of the next until the executor ends."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    _caches[name] = clear
+    if others:
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is free otherwise
+            trim(0)
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; on a cluster
     that is an error, as machines don't share their own folders."""

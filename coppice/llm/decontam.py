@@ -210,6 +210,7 @@ def _item_table(items: DataFrame, size: int, share: float) -> DataFrame:
     names = [x.split()[0] for x in _ITEM.split(", ")]
 
     def explode(batches):
+        common.take_turn("templates", Lexicon.shared().clear)
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -252,6 +253,7 @@ def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> Da
     names = [x.split()[0] for x in _HIT.split(", ")]
 
     def probe(batches):
+        common.take_turn("templates", Lexicon.shared().clear)
         table = sent.value
         for b in batches:
             rows = []

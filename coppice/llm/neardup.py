@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     common.tune(docs.sparkSession)
 
     def build(batches):
+        common.take_turn("words", shingles.forget)
         for b in batches:
             ids, hi, lo, n, bands, sigs = b.column(0), [], [], [], [], []
             for t in b.column(1).to_pylist():
@@ -112,6 +113,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int)
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def test(batches):
+        common.take_turn("words", shingles.forget)
         kept: dict[int, np.ndarray] = {}
 
         def of(key, text):

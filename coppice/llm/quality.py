@@ -37,6 +37,11 @@ def _slot(word: bytes) -> int:
     return zlib.crc32(b"w" + word.lower()) % SIZE << 32 | zlib.crc32(b"s" + shape[:12]) % SIZE
 
 
+def forget() -> None:
+    """Drops the remembered slots; tasks are sent this function by its name, and with it the module's own table."""
+    _slots.clear()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text."""
     found = (text or "").encode("utf-8", "replace").split()
@@ -117,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", per_class
     common.tune(docs.sparkSession)
 
     def bags(batches):
+        common.take_turn("quality", forget)
         for b in batches:
             got = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))], names=["label", "slots", "vals"])
@@ -138,6 +144,7 @@ def score(docs: DataFrame, model: Model, good: int = 1, least: float = 0.5, extr
     extra = extra or []
 
     def apply(batches):
+        common.take_turn("quality", forget)
         m = Model(*sent.value)
         steps = np.diff(np.array(m.grades, np.float64))
         at = next((k for k, g in enumerate(m.grades) if g >= good), len(m.grades))

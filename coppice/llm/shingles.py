@@ -28,6 +28,11 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.array(got, np.uint64)
 
 
+def forget() -> None:
+    """Drops the remembered fingerprints."""
+    _known.clear()
+
+
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _MIX
     return h ^ (h >> np.uint64(29))

@@ -639,3 +639,20 @@ def test_pipeline(spark, sf_dir, texts, duck):
             assert after.sort_index().equals(before.loc[after.index].sort_index())
     whole = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert set(whole["doc_id"]) == set(docs.toPandas()["doc_id"]) and isinstance(whole, pd.DataFrame)
+
+
+def test_workers_hold_one_cache(spark, sf_dir):
+    """Python workers serve all stages; none keeps the caches of several operators."""
+    from coppice.llm import quality
+
+    docs = common.read_table(spark, sf_dir, "documents").repartition(16)
+    for _, stage in corpus_pipeline.STAGES[:3] + corpus_pipeline.STAGES[4:]:
+        stage(spark, docs, sf_dir).write.format("noop").mode("overwrite").save()
+
+    def filled(batches):
+        n = sum(map(bool, (len(quality._slots), len(shingles._known), len(decontam.Lexicon.shared().index), len(bpe._encoders))))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int32())], names=["n"])
+
+    got = [r["n"] for r in spark.range(64, numPartitions=64).mapInArrow(filled, "n int").collect()]
+    assert len(got) == 64 and 0 < max(got) <= 1
