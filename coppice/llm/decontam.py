@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter, defaultdict
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -50,10 +51,27 @@ _OUTER = b" \t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*([^\W\d_]{1,4}|%|°)?$")
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(b"<%d>" % k)) for k in (NUM, UNIT, NAME)}
 _units = frozenset(UNITS)
+_unit_bytes = frozenset(u.encode() for u in UNITS)
+
+
+# what a word is, in one byte: its kind plus one (0: no core) and these
+CAP, ENDS, CUT, BARE = 8, 16, 32, 64
+
+
+class _Words(dict):
+    """Places of words in a lexicon's tables; a word that isn't there is added to them."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.add(word)
+        return n
 
 
 class Lexicon:
-    """Words as rows of small tables: template hash, kind, whether it may be a name, whether it ends a sentence or clause, whether it is a number without unit."""
+    """Words as rows of small tables: template hash, and kind, whether it may be a name, whether it ends a sentence, whether it ends
+    a clause, whether it is a number without unit."""
 
     _own: Lexicon | None = None
 
@@ -67,67 +85,83 @@ class Lexicon:
         return cls._own
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hash, self.kind, self.cap, self.ends = array("Q"), array("b"), array("b"), array("b")
-        self.cut, self.bare = array("b"), array("b")
+        self.index = _Words(self._add)
+        self.hash, self.flags = array("Q"), array("B")
 
     def _add(self, word: bytes) -> int:
-        core = word.strip(_OUTER)
-        text = core.decode("utf-8", "replace")
-        low = text.lower()
-        kind = NUM if core[:1].isdigit() and _NUMBER.match(text) else UNIT if low in _units else LITERAL
-        self.hash.append(0 if not core else int(_MARKS[kind]) if kind else xxhash.xxh3_64_intdigest(low.encode()))
-        self.kind.append(-1 if not core else kind)
-        self.cap.append(kind == LITERAL and text[:1].isupper() and (len(text) == 1 or not text.isupper()))
-        self.ends.append(word.rstrip(b"\"')]*#$%&")[-1:] in (b".", b"!", b"?", b":"))
-        self.cut.append(word[-1:] in b",;:.!?)")
-        self.bare.append(kind == NUM and core[-1:].isdigit())
+        core, last, flags = word.strip(_OUTER), word[-1:], 0
+        if core.islower() and core.isalpha():  # a to z only
+            kind, low = UNIT if core in _unit_bytes else LITERAL, core
+        else:
+            text = core.decode("utf-8", "replace")
+            low = text.lower()
+            kind = NUM if core[:1].isdigit() and _NUMBER.match(text) else UNIT if low in _units else LITERAL
+            if kind == LITERAL and text[:1].isupper() and (len(text) == 1 or not text.isupper()):
+                flags |= CAP
+            if kind == NUM and core[-1:].isdigit():
+                flags |= BARE
+            low = low.encode()
+        if len(core) < len(word):
+            if word.rstrip(b"\"')]*#$%&")[-1:] in (b".", b"!", b"?", b":"):
+                flags |= ENDS
+            if last in b",;:.!?)":
+                flags |= CUT
+        self.hash.append(0 if not core else int(_MARKS[kind]) if kind else xxhash.xxh3_64_intdigest(low))
+        self.flags.append(flags | kind + 1 if core else flags)
         return len(self.hash) - 1
 
-    def readings(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, Values]]:
-        """(hashes, kinds, values) of the tokens of a text, with the words that begin a sentence as they are, and, if that
-        differs, with the capitalised ones of them as names; words without a core are left out."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, Values, np.ndarray]]]:
+        """Which texts have two readings, and of each reading (hashes, kinds, values) of the tokens of all texts in turn and how many
+        tokens each text has: with the words that begin a sentence as they are, and with the capitalised ones of them as
+        names; words without a core are left out."""
         if len(self.index) > 400_000:
             self.clear()
-        found = (text or "").encode("utf-8", "replace").split()
-        got = list(map(self.index.get, found))
-        for i in [i for i, v in enumerate(got) if v is None]:
-            w = found[i]
-            if w not in self.index:
-                self.index[w] = self._add(w)
-            got[i] = self.index[w]
-        if not found:
-            return [(np.empty(0, np.uint64), np.empty(0, np.int8), Values([], np.empty(0, int)))]
-        at = np.array(got)
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        found = list(chain.from_iterable(split))
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
         # views of growing arrays, which must be gone before the next word is added
-        hashes, kinds = np.frombuffer(self.hash, np.uint64)[at], np.frombuffer(self.kind, np.int8)[at]
-        cap, ends = np.frombuffer(self.cap, bool)[at], np.frombuffer(self.ends, bool)[at]
-        cut, bare = np.frombuffer(self.cut, bool)[at], np.frombuffer(self.bare, bool)[at]
-        inside = cap.copy()
-        inside[0] = False
-        inside[1:] &= ~ends[:-1]
-        keep = kinds >= 0
-        if not keep.all():
-            found = [found[i] for i in np.flatnonzero(keep)]
-            hashes, kinds, cap, inside, cut, bare = (x[keep] for x in (hashes, kinds, cap, inside, cut, bare))
+        hashes, flags = np.frombuffer(self.hash, np.uint64)[at], np.frombuffer(self.flags, np.uint8)[at]
+        begins = np.ones(len(found), bool)
+        begins[1:] = owner[1:] != owner[:-1]
+        cap = flags & CAP != 0
+        inside = cap & ~begins
+        inside[1:] &= flags[:-1] & ENDS == 0
+        kept = np.flatnonzero(flags & 7)
+        if len(kept) < len(found):
+            hashes, flags, cap, inside, owner = (x[kept] for x in (hashes, flags, cap, inside, owner))
+            begins = np.ones(len(kept), bool)
+            begins[1:] = owner[1:] != owner[:-1]
+        two = np.zeros(len(texts), bool)
+        two[owner[cap != inside]] = True
+        kinds = (flags & 7).view(np.int8) - np.int8(1)
+        after = (kinds[1:] == UNIT) & (flags[:-1] & BARE != 0)
+        tied = ~begins[1:] & (flags[:-1] & CUT == 0)
         out = []
-        for name in [inside] if (cap == inside).all() else [inside, cap]:
-            h, k = np.where(name, _MARKS[NAME], hashes), np.where(name, np.int8(NAME), kinds)
-            first = np.ones(len(k), bool)
-            first[1:] = ~((name[1:] & name[:-1] | (k[1:] == UNIT) & bare[:-1]) & ~cut[:-1])
-            out.append((h[first], k[first], Values(found, np.flatnonzero(first))))
-        return out
+        for name in (inside, cap):
+            first = begins.copy()
+            first[1:] = ~((name[1:] & name[:-1] | after) & tied)
+            starts = np.flatnonzero(first)
+            is_name = name[starts]
+            h, k = np.where(is_name, _MARKS[NAME], hashes[starts]), np.where(is_name, np.int8(NAME), kinds[starts])
+            out.append((h, k, Values(found, kept, starts), np.bincount(owner[starts], minlength=len(texts))))
+        return two, out
+
+    def readings(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray, Values]]:
+        """(hashes, kinds, values) of each reading of one text."""
+        two, both = self.read([text])
+        return [x[:3] for x in (both if two[0] else both[:1])]
 
 
 class Values:
-    """What stands for each token: one word, or the words of a run."""
+    """What stands for each token: one word, or the words of a run. kept: places of the words with a core."""
 
-    def __init__(self, words: list[bytes], starts: np.ndarray):
-        self.words, self.starts = words, starts
+    def __init__(self, words: list[bytes], kept: np.ndarray, starts: np.ndarray):
+        self.words, self.kept, self.starts = words, kept, starts
 
     def __getitem__(self, i: int) -> bytes:
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.words)
-        return b" ".join(self.words[self.starts[i] : end]).strip(_OUTER).lower()
+        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.kept)
+        return b" ".join([self.words[k] for k in self.kept[self.starts[i] : end]]).strip(_OUTER).lower()
 
 
 def _keys(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +169,11 @@ def _keys(hashes: np.ndarray, size: int) -> np.ndarray:
     return shingles.windows(hashes, size) ^ np.uint64(min(size, len(hashes)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
+def _keys_of_rows(rows: np.ndarray) -> np.ndarray:
+    """The same of windows that are the rows of a matrix."""
+    return shingles.windows_of_rows(rows) ^ np.uint64(rows.shape[1] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 def item_windows(text: str | None, size: int) -> list[tuple[int, list[tuple[int, int, list[int], list[bytes]]]]]:
     """(length in tokens, [(key, position, kinds, values) of each window that counts]) of an item's readings."""
     out = []
@@ -247,6 +286,42 @@ def _passing(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return at
 
 
+def _groups(texts: list[str | None], most: int = 100_000) -> list[tuple[int, int]]:
+    """Runs of neighbouring texts of at most so many characters together, or of one text."""
+    out, lo, n = [], 0, 0
+    for i, t in enumerate(texts):
+        m = len(t or "")
+        if n + m > most and i > lo:
+            out.append((lo, i))
+            lo, n = i, 0
+        n += m
+    return [*out, (lo, len(texts))] if texts else out
+
+
+def _found(texts: list[str | None], table: np.ndarray, bits: int, size: int, lengths: list[int]):
+    """(reading, text, position, key, values, whether the text has no more tokens) of each window that passes the filter: windows of
+    `size` tokens, of the lengths of shorter items, and short texts as a whole."""
+    two, both = Lexicon.shared().read(texts)
+    for way, (hashes, _, values, counts) in enumerate(both):
+        owner, begin = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts) - counts
+        for k in range(1, size + 1):
+            if k == size or k in lengths:
+                if len(hashes) < k:
+                    continue
+                keys = _keys(hashes, k)
+                at = _passing(table, keys, bits)
+                at = at[owner[at] == owner[at + k - 1]]  # windows end with their text
+                passed = keys[at]
+            else:
+                at = begin[counts == k]
+                passed = _keys_of_rows(hashes[at[:, None] + np.arange(k)])
+                good = _passing(table, passed, bits)
+                at, passed = at[good], passed[good]
+            for p, t, key in zip(at.tolist(), owner[at].tolist(), passed.view(np.int64).tolist(), strict=True):
+                if two[t] or not way:
+                    yield way, t, p - int(begin[t]), key, [values[i] for i in range(p, p + k)], bool(counts[t] <= k)
+
+
 def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> DataFrame:
     """Windows of documents that pass the filter, with the values of all their tokens."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.bool_()]
@@ -256,18 +331,14 @@ def _hits(docs: DataFrame, sent, bits: int, size: int, lengths: list[int]) -> Da
         common.take_turn("templates", Lexicon.shared().clear)
         table = sent.value
         for b in batches:
+            docs, ids, texts = (b.column(k).to_pylist() for k in range(3))
             rows = []
-            for doc, doc_id, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for way, (hashes, _, values) in enumerate(Lexicon.shared().readings(text)):
-                    n = len(hashes)
-                    for k in sorted({min(size, n), *(x for x in lengths if x < n)}) if n else ():
-                        keys = _keys(hashes, k)
-                        at = _passing(table, keys, bits)
-                        whole = n <= k
-                        rows += [(doc, doc_id, way, key, p, [values[i] for i in range(p, p + k)], whole) for p, key in zip(at.tolist(), keys[at].view(np.int64).tolist(), strict=True)]
-                        if len(rows) > 5_000:
-                            yield _arrays(rows, kinds, names)
-                            rows = []
+            for lo, hi in _groups(texts):
+                for way, t, p, key, theirs, whole in _found(texts[lo:hi], table, bits, size, lengths):
+                    rows.append((docs[lo + t], ids[lo + t], way, key, p, theirs, whole))
+                    if len(rows) > 5_000:
+                        yield _arrays(rows, kinds, names)
+                        rows = []
             yield _arrays(rows, kinds, names)
 
     return docs.mapInArrow(probe, _HIT)

@@ -656,3 +656,38 @@ def test_workers_hold_one_cache(spark, sf_dir):
 
     got = [r["n"] for r in spark.range(64, numPartitions=64).mapInArrow(filled, "n int").collect()]
     assert len(got) == 64 and 0 < max(got) <= 1
+
+
+def test_windows_of_groups_of_texts(monkeypatch):
+    """Texts are read many at a time, and give the windows that each gives alone."""
+    rng = random.Random(11)
+    draw = ["Anna", "Ben Cole", "apples", "pears,", "12", "5 kg", "7kg", "3.5", "und", "ñandú", "Ñandú", "Élan.", "why?", "(so)", "...", "-", "km", "KM", "NASA", "A", "i.e.", '"End."', "stop!", "99%", "x1"]
+    texts = [None, "", "...", " - ", "Anna", "12 kg", *(" ".join(rng.choices(draw, k=rng.choice([1, 2, 3, 4, 5, 6, 9, 40]))) for _ in range(400))]
+    lengths, bits = [2, 3], 16
+    keys = [w[0] for t in texts[::7] for _, found in decontam.item_windows(t, 5) for w in found]
+    table = np.zeros(1 << bits - 6, np.uint64)
+    for k in (1, 2):
+        slot = np.array(keys, np.int64).view(np.uint64) >> np.uint64(64 - k * bits) & np.uint64((1 << bits) - 1)
+        np.bitwise_or.at(table, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    want = []
+    for d, t in enumerate(texts):
+        for way, (hashes, _, values) in enumerate(decontam.Lexicon().readings(t)):
+            n = len(hashes)
+            for k in sorted({min(5, n), *(x for x in lengths if x < n)}) if n else ():
+                own = decontam._keys(hashes, k)
+                want += [(d, -d, way, int(own[p : p + 1].view(np.int64)[0]), p, [values[i] for i in range(p, p + k)], n <= k) for p in decontam._passing(table, own, bits).tolist()]
+
+    class Frame:
+        def mapInArrow(self, f, _):
+            return f
+
+    class Sent:
+        value = table
+
+    calls, plain = [], shingles.windows
+    monkeypatch.setattr(shingles, "windows", lambda *a: calls.append(1) or plain(*a))
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([-d for d in ids]), pa.array(texts)], names=["doc", "doc_id", "text"])
+    got = [tuple(r.values()) for b in decontam._hits(Frame(), Sent, bits, 5, lengths)([batch]) for r in b.to_pylist()]
+    assert len(want) > 400 and sorted(got) == sorted(want)
+    assert len(calls) <= 20
