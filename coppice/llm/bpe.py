@@ -49,6 +49,12 @@ class PieceEncoder:
         self.added = [a.lower() if self.lowers else a for a in found]
         self.keep, self.new, self.old, self.heads = keep, {}, {}, {}
         self.ends = {p: self._one(p) for p in _ENDS}
+        # of byte-level files: which tokens begin with a space
+        self.leads = None
+        if not self.drops and not any(" " in a for a in self.added):
+            vocab = self.tok.get_vocab()
+            self.leads = np.zeros(max(vocab.values()) + 1, bool)
+            self.leads[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True
         self.wide = self.tok.get_vocab_size() > 1 << 16
 
     def _ids(self, text: str) -> list[int]:
@@ -70,10 +76,10 @@ class PieceEncoder:
         if len(self.new) + 2 * len(pieces) > self.keep:
             self.old, self.new = self.new, {}
         old, new, todo, later = self.old, self.new, [], []
-        for p in pieces:
-            if p in old:
-                new[p] = old.pop(p)
-                continue
+        again = old.keys() & pieces
+        for p in again:
+            new[p] = old.pop(p)
+        for p in pieces - again:
             last = p[-1:]
             if last in _ENDS and (body := p[:-1]).isalpha() and _latin(body):
                 later.append((p, body))
@@ -87,6 +93,8 @@ class PieceEncoder:
             else:
                 return False
         if todo:
+            if self.leads is not None:
+                todo = self._together(todo)
             lead = todo if self.drops else [p if p[0] == "\n" else " " + p for p in todo]
             for p, e in zip(todo, self.tok.encode_batch_fast(lead, add_special_tokens=False), strict=True):
                 new[p] = array("I", e.ids).tobytes()  # native order: little-endian wherever Spark's workers run
@@ -94,6 +102,18 @@ class PieceEncoder:
             new[p] = new[body] + self.ends[p[-1]]
         return True
 
+    def _together(self, todo: list[str]) -> list[str]:
+        """Makes pieces known by encoding them as one text, which is cut where a token begins with a space; returns those left."""
+        spaced = [p for p in todo if p[0] != "\n"]
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0].ids if spaced else [], "<u4")
+        cuts = np.flatnonzero(self.leads[ids])
+        if len(cuts) != len(spaced):
+            return todo
+        raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        for p, i, j in zip(spaced, cuts, cuts[1:], strict=False):
+            self.new[p] = raw[i:j]
+        return [p for p in todo if p[0] == "\n"]
+
     def _holds_added(self, text: str) -> bool:
         if self.lowers:  # then pieces are in lower case, where such a token could seem to be
             text = text.lower()
@@ -122,13 +142,7 @@ class PieceEncoder:
             head = self._first(first) if first else b""
         got = list(map(self.new.get, rest))
         if None in got:
-            missing, at = [], -1
-            try:
-                while True:
-                    at = got.index(None, at + 1)
-                    missing.append(at)
-            except ValueError:
-                pass
+            missing = [i for i, x in enumerate(got) if x is None]
             if not self._learn({rest[i] for i in missing}):
                 return self._one(text)
             for i in missing:

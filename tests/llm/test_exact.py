@@ -691,3 +691,23 @@ def test_windows_of_groups_of_texts(monkeypatch):
     got = [tuple(r.values()) for b in decontam._hits(Frame(), Sent, bits, 5, lengths)([batch]) for r in b.to_pylist()]
     assert len(want) > 400 and sorted(got) == sorted(want)
     assert len(calls) <= 20
+
+
+def test_unknown_pieces_are_encoded_together(texts):
+    """Byte-level ids with dictionaries that turn over all the time, and few calls into the library."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e, sent = Tokenizer.from_file(path), bpe.PieceEncoder(path, keep=2000), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, batch, **options):
+            sent.extend(batch)
+            return plain.encode_batch_fast(batch, **options)
+
+    e.tok = Counted()
+    some = [t for t in list(texts.values())[:200] if t] + ["a\tb   cĠd", "x\n\ny Ġ z. z, q.\n", "　 wide  gaps ", "한국어 é é"]
+    for t in some:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert sent and len([p for p in sent if p[0] != "\n"]) <= len(some)
