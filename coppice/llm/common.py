@@ -35,6 +35,13 @@ def take_turn(name: str, clear: Callable[[], object]) -> None:
             trim(0)
 
 
+def spare_driver(spark: SparkSession) -> None:
+    """Called by a stage of many jobs before its first one. Spark writes each broadcast, be it of a kilobyte, into a new array of
+    spark.broadcast.blockSize, by default 4 MB; there is one for each stage and each scan, and in a small heap arrays of that size are
+    humongous: they start collections of their own, and the heap grows. Unless the user has set a size, blocks are 256 KB from here on."""
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.broadcast.blockSize", "256k")
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; on a cluster
     that is an error, as machines don't share their own folders."""

@@ -711,3 +711,12 @@ def test_unknown_pieces_are_encoded_together(texts):
     for t in some:
         assert np.frombuffer(e.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
     assert sent and len([p for p in sent if p[0] != "\n"]) <= len(some)
+
+
+def test_broadcasts_of_stages_are_in_small_blocks(spark):
+    """A stage has a broadcast for each of its scans and task sets, and each takes a new array of a block's size in the driver's heap."""
+    corpus_pipeline.pack(spark, spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), "")
+    sent = spark.sparkContext._jsc.broadcast(bytearray(np.random.default_rng(1).bytes(1_000_000)))
+    jvm = spark.sparkContext._jvm.org.apache.spark
+    there = [jvm.SparkEnv.get().blockManager().getStatus(jvm.storage.BlockId.apply(f"broadcast_{sent.id()}_piece{k}")).isDefined() for k in range(3)]
+    assert there == [True] * 3
